@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -31,6 +32,35 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), _file("byte_bpe_multi_50k.tiktoken"), _pattern())
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe}
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transducer import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), _file("piece_bpe_32k.model"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_linededup": op2_linededup, "op4_bpe": op4_bpe, "op6_tokencount": op6_tokencount}
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_linededup": """
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents
+), numbered AS (
+  SELECT doc_id, line, n, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(held) AS line, unnest(range(len(held))) AS n FROM split)
+), owners AS (
+  SELECT key, min(doc_id) AS owner FROM numbered WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+  SELECT n.*, o.owner IS NOT NULL AND n.doc_id <> o.owner AS dropped FROM numbered n LEFT JOIN owners o USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}
