@@ -45,7 +45,15 @@ def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _file("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_linededup": op2_linededup, "op4_bpe": op4_bpe, "op6_tokencount": op6_tokencount}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    remainder = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4)"
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=f"{remainder} <> 2")
+    return scored.select("doc_id", F.expr(f"{remainder} = 2").alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_linededup": op2_linededup, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op6_tokencount": op6_tokencount}
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_linededup": """
