@@ -132,7 +132,8 @@ def dedup_lines(docs: DataFrame, *, shortest: int = SHORTEST, batches: int = 4,
     gone = "__lost_keys"
     lost = index.repeated(lines).groupBy(F.col("doc_id").alias("__lost_doc")).agg(F.collect_set("key").alias(gone))
     whole = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost["__lost_doc"], "left").drop("__lost_doc")
-    at, fields = docs.columns.index("text"), [*docs.columns, "n_lines", "n_dropped"]
+    names = docs.columns
+    at, fields = names.index("text"), [*names, "n_lines", "n_dropped"]
 
     def rewrite(parts):
         for b in slices(parts, 1024, 4_000_000):
@@ -146,7 +147,7 @@ def dedup_lines(docs: DataFrame, *, shortest: int = SHORTEST, batches: int = 4,
                     text = "\n".join(held)
                 dropped.append(before[-1] - len(held))
                 kept.append(text)
-            columns = [b.column(c) for c in docs.columns]
+            columns = [b.column(c) for c in names]
             columns[at] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], fields)
 
