@@ -53,9 +53,34 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(f"{remainder} = 2").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_linededup": op2_linededup, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op6_tokencount": op6_tokencount}
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_linededup": op2_linededup, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op6_tokencount": op6_tokencount, "op7_topk": op7_topk, "op9_ann": op9_ann}
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
+    "op7_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op2_linededup": """
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents
