@@ -1,0 +1,35 @@
+"""Connected components of a table of links, by alternating stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of ``links`` (a, b): root is the smallest node that links lead to.
+
+    Each round points the larger neighbours of a node, then its smaller ones, at the smallest neighbour; long chains halve,
+    so rounds grow with the logarithm of the longest chain. Rounds end in Parquet in the shared folder. A node with many links
+    is pre-aggregated before the shuffle, and its rows in the join are split by adaptive skew joins.
+    """
+    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    state = None
+    for _ in range(most_rounds):
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        links = materialize(small.where("a <> b").distinct(), "links")
+        new = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if new == state:
+            break
+        state = new
+    else:
+        raise RuntimeError("components did not settle")
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

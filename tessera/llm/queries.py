@@ -39,6 +39,12 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .transducer import count_tokens
 
@@ -65,7 +71,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_linededup": op2_linededup, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op6_tokencount": op6_tokencount, "op7_topk": op7_topk, "op9_ann": op9_ann}
+QUERIES = {"op1_packing": op1_packing, "op2_linededup": op2_linededup, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op6_tokencount": op6_tokencount, "op7_topk": op7_topk, "op9_ann": op9_ann}
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op7_topk": """
