@@ -65,13 +65,26 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op8_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import loss_difference
+
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return loss_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_linededup": op2_linededup, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op6_tokencount": op6_tokencount, "op7_topk": op7_topk, "op9_ann": op9_ann}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replace_personal
+
+    return replace_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_linededup": op2_linededup, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op6_tokencount": op6_tokencount, "op7_topk": op7_topk, "op8_lmscore": op8_lmscore, "op9_ann": op9_ann, "op10_pii": op10_pii}
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op7_topk": """
