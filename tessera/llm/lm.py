@@ -106,7 +106,7 @@ def loss_difference(docs: DataFrame, targets: DataFrame, *, words: int = WORDS,
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    handle = docs.sparkSession.sparkContext.broadcast(count_models(docs.join(named, "doc_id", "left"), words, pairs, prior))
+    handle = docs.sparkSession.sparkContext.broadcast(count_models(docs.join(named.hint("shuffle_hash"), "doc_id", "left"), words, pairs, prior))
 
     def run(batches):
         for b in slices(batches, 4096, 4_000_000):
