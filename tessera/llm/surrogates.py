@@ -269,8 +269,8 @@ def replace_personal(docs: DataFrame, *, key: bytes = b"documented default key;
 
     uses = materialize(hits.select("__row", text, "__marks").mapInArrow(values, "row long, kind string, value string"), "uses")
     new = assign(materialize(uses.select("kind", "value").distinct(), "values"), key)
-    given = uses.join(new, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__new"))
-    whole = hits.join(given, hits["__row"] == given["row"]).drop("row", "__row")
+    given = uses.join(new, ["kind", "value"]).groupBy(F.col("row").alias("__used")).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__new"))
+    whole = hits.join(given, hits["__row"] == given["__used"]).drop("__used", "__row")
 
     def put(batches):
         for b in slices(batches, 1024, 4_000_000):
