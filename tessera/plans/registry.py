@@ -28,4 +28,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import aggregates, joins, models, scalars, voxels, windows  # noqa: E402, F401
+from . import aggregates, cohort, joins, models, scalars, voxels, windows  # noqa: E402, F401
