@@ -112,7 +112,18 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(len(sets), 4)
 
 
-SIGNS = "doc_id long, n int, node binary, s0 long, s1 long, s2 long, s3 long, gram long, times long"
+#: Sets of at least so many grams also get a profile: in larger sets, parities tell little.
+PROFILED = 800
+
+
+def profile(s: np.ndarray) -> bytes | None:
+    """Counts of a large set's grams by another 8 bits of theirs: sets that differ in d grams have counts that differ by at most d in all."""
+    if len(s) < PROFILED:
+        return None
+    return np.minimum(np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256), 65535).astype("<u2").tobytes()
+
+
+SIGNS = "doc_id long, n int, node binary, s0 long, s1 long, s2 long, s3 long, profile binary, gram long, times long"
 
 
 def signatures(docs: DataFrame, grams: int) -> DataFrame:
@@ -122,25 +133,25 @@ def signatures(docs: DataFrame, grams: int) -> DataFrame:
         names = [x.split()[0] for x in SIGNS.split(", ")]
         gram, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def rows(ids, n, node, s, gram, times):
+        def rows(ids, n, node, s, profiles, gram, times):
             empty = lambda k, t: pa.nulls(k, t)
             k, m = len(ids), len(gram)
             both = lambda a, t: pa.concat_arrays([pa.array(a, t), empty(m, t)])
             tail = lambda a: pa.concat_arrays([empty(k, pa.int64()), pa.array(a, pa.int64())])
-            return pa.RecordBatch.from_arrays([both(ids, pa.int64()), both(n, pa.int32()), both(node, pa.binary()), *(both(s[:, i], pa.int64()) for i in range(4)), tail(gram.view(np.int64)), tail(times)], names)
+            return pa.RecordBatch.from_arrays([both(ids, pa.int64()), both(n, pa.int32()), both(node, pa.binary()), *(both(s[:, i], pa.int64()) for i in range(4)), both(profiles, pa.binary()), tail(gram.view(np.int64)), tail(times)], names)
 
         none = np.zeros(0, np.uint64)
         for b in slices(batches, 1024, 4_000_000):
             sets = gram_sets(texts_of(b, "text"), grams)
-            yield rows(b.column("doc_id"), [len(s) for s in sets], [node_of(s) for s in sets], sketches(sets), none, none)
+            yield rows(b.column("doc_id"), [len(s) for s in sets], [node_of(s) for s in sets], sketches(sets), [profile(s) for s in sets], none, none)
             g, t = np.unique(np.concatenate(sets), return_counts=True)
             g, t = np.concatenate([gram, g[t > 1]]), np.concatenate([times, t[t > 1]])
             gram, back = np.unique(g, return_inverse=True)
             times = np.bincount(back, t, len(gram)).astype(np.int64)
             if len(gram) > 1_000_000:
-                yield rows([], [], [], np.zeros((0, 4), np.int64), gram[times > 3], times[times > 3])
+                yield rows([], [], [], np.zeros((0, 4), np.int64), [], gram[times > 3], times[times > 3])
                 gram, times = none, np.zeros(0, np.int64)
-        yield rows([], [], [], np.zeros((0, 4), np.int64), gram[times > 3], times[times > 3])
+        yield rows([], [], [], np.zeros((0, 4), np.int64), [], gram[times > 3], times[times > 3])
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNS)
 
@@ -155,7 +166,7 @@ def postings(docs: DataFrame, grams: int, rule: Rule, boundary: int, frequent: t
         if a <= boundary:
             m = mix(s)
             for o in rule.subset_sizes(a, boundary):  # a subset is named by the sum of its grams and its size
-                left_out = np.array(list(itertools.combinations(range(a), a - o)), np.int64).reshape(-1, a - o)
+                left_out = np.array(list(itertools.combinations(range(a), a - o)), np.int64).reshape(comb(a, o), a - o)
                 out.append(mix(np.full(len(left_out), m.sum()) - m[left_out].sum(1, dtype=np.uint64) + np.full(1, o, np.uint64) * _ODD))
         if a >= low:
             known, kind = handle.value
@@ -181,6 +192,10 @@ def postings(docs: DataFrame, grams: int, rule: Rule, boundary: int, frequent: t
     return docs.where("doc_id is not null").select("text").mapInArrow(run, "sign long, node binary")
 
 
+def profile_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.abs(x.reshape(-1, 256).astype(np.int32) - y.reshape(-1, 256)).sum(1)
+
+
 def could_link(rule: Rule, a: str = "a", b: str = "b"):
     """Whether sizes and sketches leave a link possible."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -192,7 +207,19 @@ def could_link(rule: Rule, a: str = "a", b: str = "b"):
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, grams: int, rule: Rule) -> DataFrame:
     """Those (a, b) of ``pairs`` whose sets link."""
     some = pairs.alias("p").join(nodes.alias("a"), F.expr("p.a = a.node")).join(nodes.alias("b"), F.expr("p.b = b.node")).where(could_link(rule))
-    some = materialize(some.select("p.a", "p.b", F.col("a.rep").alias("a_doc"), F.col("b.rep").alias("b_doc")), "candidates")
+    some = some.select("p.a", "p.b", F.col("a.rep").alias("a_doc"), F.col("b.rep").alias("b_doc"), (F.col("a.n") + F.col("b.n")).alias("size"), F.col("a.profile").alias("x"), F.col("b.profile").alias("y"))
+    num, both = rule.num, rule.num + rule.den
+
+    def near(batches):
+        for b in slices(batches, 2048, 4_000_000):
+            x, y, size = b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("size").to_numpy()
+            keep = np.ones(len(x), bool)
+            if at := [k for k in range(len(x)) if x[k] and y[k]]:
+                apart = profile_distance(np.frombuffer(b"".join(x[k] for k in at), "<u2"), np.frombuffer(b"".join(y[k] for k in at), "<u2"))
+                keep[at] = both * (size[at] - apart) >= 2 * num * size[at]
+            yield b.select(["a", "b", "a_doc", "b_doc"]).filter(pa.array(keep))
+
+    some = materialize(some.mapInArrow(near, "a binary, b binary, a_doc long, b_doc long"), "candidates")
     ids = materialize(some.select(F.col("a_doc").alias("doc_id")).union(some.select("b_doc")).distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -204,10 +231,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, grams: int, ru
 
     held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "node binary, grams binary")
     held = materialize(held.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
-    num, both = rule.num, rule.num + rule.den
 
     def intersect(batches):
-        for b in batches:
+        for b in slices(batches, 512, 8_000_000):
             keep = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -223,62 +249,78 @@ def cell_pairs(lists: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule,
 
     ``lists`` (sign, node, lead, times). A list of many sets is dealt out in shards, and each pair of shards is a cell.
     """
-    label = nodes.join(roots, "node", "left").select("node", "n", "s0", "s1", "s2", "s3", F.coalesce("root", "node").alias("root"))
+    label = nodes.join(roots, "node", "left").select("node", "n", "s0", "s1", "s2", "s3", "profile", F.coalesce("root", "node").alias("root"))
     rows = lists.join(label, "node")
     mixed = rows.groupBy("sign").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("sign")
     rows = rows.join(mixed, "sign", "left_semi").withColumn("shards", F.ceil(F.col("times") / (CELL // 2)).cast("int"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     rows = rows.withColumn("i", F.least("shard", "other")).withColumn("j", F.greatest("shard", "other"))
-    columns = ["sign", "i", "j", "node", "lead", "root", "n", "s0", "s1", "s2", "s3"]
+    columns = ["sign", "i", "j", "node", "lead", "root", "n", "s0", "s1", "s2", "s3", "profile"]
     rows = rows.select(*columns).repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "node")
     num, den = rule.num, rule.den
 
-    def pairs(group: pa.Table) -> tuple[list, list, bool]:
-        node = group.column("node").to_pylist()
-        first = [k for k in range(len(node)) if not k or node[k] != node[k - 1]]
-        group, node = group.take(first), [node[k] for k in first]
-        get = lambda c: group.column(c).to_numpy()
-        root = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)[1]
-        if root.max() == 0:
-            return [], [], False
-        n = get("n").astype(np.int64)
-        s = np.stack([get(f"s{i}") for i in range(4)], 1).view(np.uint64)
-        apart = np.bitwise_count(s[:, None] ^ s[None]).sum(2).astype(np.int64)
+    def names64(column) -> np.ndarray:
+        """128-bit names folded to 64 bits, to compare sets of one cell."""
+        x = np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, 2)
+        return mix(x[:, 0]) ^ x[:, 1]
+
+    def pairs(node, root, lead, n, s, profiles):
+        """(left places, right places, whether more are left) of a cell, given as arrays."""
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        node, root, n, s = node[first], root[first], n[first], s[first]
+        if len(node) < 2 or (root == root[0]).all():
+            return first[:0], first[:0], False
         total = n[:, None] + n
-        fits = (np.maximum(n[:, None], n) * num <= np.minimum(n[:, None], n) * den) & ((num + den) * (total - apart) >= 2 * num * total)
+        other = root[:, None] != root
+        fits = np.maximum(n[:, None], n) * num <= np.minimum(n[:, None], n) * den
+        fits[:, node == lead] = fits[node == lead] = False  # held against all before
         np.fill_diagonal(fits, False)
-        lead = node.index(x) if (x := group.column("lead")[0].as_py()) in node else -1
-        if lead >= 0:
-            fits[lead] = fits[:, lead] = False  # held against all before
-        if not (fits & (root[:, None] != root)).any():
-            return [], [], False
+        if not (fits & other).any():
+            return first[:0], first[:0], False
+        apart = np.bitwise_count(s[:, None] ^ s[None]).sum(2).astype(np.int64)
+        fits &= (num + den) * (total - apart) >= 2 * num * total
+        large = np.flatnonzero(n >= PROFILED)
+        if len(large) > 1:
+            p = np.frombuffer(b"".join(profiles[first[k]] for k in large), "<u2").reshape(-1, 256)
+            for k, row in zip(large, p, strict=True):
+                apart[k, large] = np.maximum(apart[k, large], profile_distance(p, row))
+            fits &= (num + den) * (total - apart) >= 2 * num * total
+        open_ = fits & other
+        if not open_.any():
+            return first[:0], first[:0], False
         order = np.argsort(np.where(fits, apart, 1 << 40), 1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(1, len(node) + 1)[None].repeat(len(node), 0), 1)
-        open_ = fits & (root[:, None] != root)
         now = open_ & (rank > low) & (rank <= high)
-        now |= now.T
-        x, y = np.nonzero(np.triu(now))
-        return [node[k] for k in x], [node[k] for k in y], bool((open_ & (np.minimum(rank, rank.T) > high)).any())
+        x, y = np.nonzero(np.triu(now | now.T))
+        return first[x], first[y], bool((open_ & (np.minimum(rank, rank.T) > high)).any())
 
     def run(batches):
         rest = None
-        for b in itertools.chain(batches, [None]):
+        for b in itertools.chain(slices(batches, 4096, 16_000_000), [None]):
             t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
             if t is None or not t.num_rows:
                 continue
-            key = np.stack([t.column(c).to_numpy() for c in ("sign", "i", "j")], 1)
-            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), t.num_rows]
+            t = t.combine_chunks()
+            sign, i, j = (t.column(c).to_numpy() for c in ("sign", "i", "j"))
+            cut = [0, *(np.flatnonzero((sign[1:] != sign[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), t.num_rows]
             last = len(cut) - (1 if b is None else 2)
-            left, right = [], []
-            for a, z in itertools.pairwise(cut[: last + 1]):
-                if z - a < 2:
-                    continue
-                x, y, more = pairs(t.slice(a, z - a).combine_chunks())
-                left, right = left + x + ([b""] if more else []), right + y + ([None] if more else [])
             rest = None if b is None else t.slice(cut[last])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+            if not last:
+                continue
+            node, root, lead = (names64(t.column(c)) for c in ("node", "root", "lead"))
+            n, s = t.column("n").to_numpy().astype(np.int64), np.stack([t.column(f"s{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
+            profiles, left, right, more = t.column("profile").to_pylist(), [], [], False
+            for a, z in itertools.pairwise(cut[: last + 1]):
+                if z - a > 1:
+                    x, y, again = pairs(node[a:z], root[a:z], lead[a], n[a:z], s[a:z], profiles[a:z])
+                    left.append(x + a)
+                    right.append(y + a)
+                    more |= again
+            if left and (more or sum(map(len, left))):
+                names = t.column("node")
+                a, z = (names.take(pa.array(np.concatenate(side))).to_pylist() for side in (left, right))
+                yield pa.RecordBatch.from_arrays([pa.array(a + [b""] * more, pa.binary()), pa.array(z + [None] * more, pa.binary())], ["a", "b"])
 
     return materialize(rows.mapInArrow(run, "a binary, b binary").distinct(), "pairs")
 
@@ -296,7 +338,7 @@ def near_duplicates(docs: DataFrame, *, grams: int = 3, num: int = 9, den: int =
     signs = materialize(signatures(docs, grams), "signatures")
     frequent = signs.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(FREQUENT).toPandas()
     of_docs = signs.where("node is not null").drop("gram", "times")
-    nodes = materialize(of_docs.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3"))), "nodes")
+    nodes = materialize(of_docs.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "profile"))), "nodes")
     sizes = nodes.groupBy(F.least("n", F.lit(2 * LARGEST_LIGHT)).alias("n")).count().collect()
     gram, times = frequent["gram"].to_numpy(np.int64).view(np.uint64), frequent["times"].to_numpy(np.int64)
     order = np.argsort(gram)
