@@ -353,8 +353,8 @@ def near_duplicates(docs: DataFrame, *, grams: int = 3, num: int = 9, den: int =
     for high in RANKS:
         pairs = cell_pairs(lists.where("times > 2"), nodes, roots, rule, low, high)
         if pairs.where("b is not null").limit(1).count():
-            links = materialize(links.union(verified(pairs.where("b is not null"), nodes, docs, grams, rule)), "links")
-            roots = materialize(components(links), "roots")
+            links = verified(pairs.where("b is not null"), nodes, docs, grams, rule)
+            roots = materialize(components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
         if not pairs.where("b is null").limit(1).count():
             break
         low = high
