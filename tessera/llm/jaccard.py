@@ -120,7 +120,7 @@ def profile(s: np.ndarray) -> bytes | None:
     """Counts of a large set's grams by another 8 bits of theirs: sets that differ in d grams have counts that differ by at most d in all."""
     if len(s) < PROFILED:
         return None
-    return np.minimum(np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((s >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
 SIGNS = "doc_id long, n int, node binary, s0 long, s1 long, s2 long, s3 long, profile binary, gram long, times long"
@@ -193,7 +193,7 @@ def postings(docs: DataFrame, grams: int, rule: Rule, boundary: int, frequent: t
 
 
 def profile_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.abs(x.reshape(-1, 256).astype(np.int32) - y.reshape(-1, 256)).sum(1)
+    return np.abs(x.reshape(-1, 256).astype(np.int16) - y.reshape(-1, 256)).sum(1, dtype=np.int64)
 
 
 def could_link(rule: Rule, a: str = "a", b: str = "b"):
@@ -215,7 +215,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, grams: int, ru
             x, y, size = b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("size").to_numpy()
             keep = np.ones(len(x), bool)
             if at := [k for k in range(len(x)) if x[k] and y[k]]:
-                apart = profile_distance(np.frombuffer(b"".join(x[k] for k in at), "<u2"), np.frombuffer(b"".join(y[k] for k in at), "<u2"))
+                apart = profile_distance(np.frombuffer(b"".join(x[k] for k in at), np.uint8), np.frombuffer(b"".join(y[k] for k in at), np.uint8))
                 keep[at] = both * (size[at] - apart) >= 2 * num * size[at]
             yield b.select(["a", "b", "a_doc", "b_doc"]).filter(pa.array(keep))
 
@@ -245,14 +245,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, grams: int, ru
 
 
 def cell_pairs(lists: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule, low: int, high: int) -> DataFrame:
-    """Candidates (a, b) between different components that share a list, those of rank above ``low`` to ``high``; b null: a cell has more.
+    """Candidates (a, b) between different components that share a list, those of rank above ``low`` to ``high``, as rows (a, b, null), and (null, null, sign) of lists that have more.
 
     ``lists`` (sign, node, lead, times). A list of many sets is dealt out in shards, and each pair of shards is a cell.
     """
-    label = nodes.join(roots, "node", "left").select("node", "n", "s0", "s1", "s2", "s3", "profile", F.coalesce("root", "node").alias("root"))
+    label = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     rows = lists.join(label, "node")
     mixed = rows.groupBy("sign").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("sign")
-    rows = rows.join(mixed, "sign", "left_semi").withColumn("shards", F.ceil(F.col("times") / (CELL // 2)).cast("int"))
+    rows = rows.join(mixed, "sign", "left_semi").join(nodes.select("node", "n", "s0", "s1", "s2", "s3", "profile"), "node")
+    rows = rows.withColumn("shards", F.ceil(F.col("times") / (CELL // 2)).cast("int"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     rows = rows.withColumn("i", F.least("shard", "other")).withColumn("j", F.greatest("shard", "other"))
     columns = ["sign", "i", "j", "node", "lead", "root", "n", "s0", "s1", "s2", "s3", "profile"]
@@ -281,7 +282,7 @@ def cell_pairs(lists: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule,
         fits &= (num + den) * (total - apart) >= 2 * num * total
         large = np.flatnonzero(n >= PROFILED)
         if len(large) > 1:
-            p = np.frombuffer(b"".join(profiles[first[k]] for k in large), "<u2").reshape(-1, 256)
+            p = np.frombuffer(b"".join(profiles[first[k]] for k in large), np.uint8).reshape(-1, 256)
             for k, row in zip(large, p, strict=True):
                 apart[k, large] = np.maximum(apart[k, large], profile_distance(p, row))
             fits &= (num + den) * (total - apart) >= 2 * num * total
@@ -310,19 +311,21 @@ def cell_pairs(lists: DataFrame, nodes: DataFrame, roots: DataFrame, rule: Rule,
                 continue
             node, root, lead = (names64(t.column(c)) for c in ("node", "root", "lead"))
             n, s = t.column("n").to_numpy().astype(np.int64), np.stack([t.column(f"s{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
-            profiles, left, right, more = t.column("profile").to_pylist(), [], [], False
+            profiles, left, right, more = t.column("profile").to_pylist(), [], [], []
             for a, z in itertools.pairwise(cut[: last + 1]):
                 if z - a > 1:
                     x, y, again = pairs(node[a:z], root[a:z], lead[a], n[a:z], s[a:z], profiles[a:z])
                     left.append(x + a)
                     right.append(y + a)
-                    more |= again
+                    if again:
+                        more.append(int(sign[a]))
             if left and (more or sum(map(len, left))):
                 names = t.column("node")
                 a, z = (names.take(pa.array(np.concatenate(side))).to_pylist() for side in (left, right))
-                yield pa.RecordBatch.from_arrays([pa.array(a + [b""] * more, pa.binary()), pa.array(z + [None] * more, pa.binary())], ["a", "b"])
+                none = [None] * len(more)
+                yield pa.RecordBatch.from_arrays([pa.array(a + none, pa.binary()), pa.array(z + none, pa.binary()), pa.array([None] * len(a) + more, pa.int64())], ["a", "b", "sign"])
 
-    return materialize(rows.mapInArrow(run, "a binary, b binary").distinct(), "pairs")
+    return materialize(rows.mapInArrow(run, "a binary, b binary, sign long").distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, *, grams: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -349,15 +352,17 @@ def near_duplicates(docs: DataFrame, *, grams: int = 3, num: int = 9, den: int =
     lists = materialize(meet.join(shared, "sign"), "members")
     links = verified(lists.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), nodes, docs, grams, rule)
     roots = materialize(components(links), "roots")
-    low = 0
+    low, open_ = 0, lists.where("times > 2")
     for high in RANKS:
-        pairs = cell_pairs(lists.where("times > 2"), nodes, roots, rule, low, high)
-        if pairs.where("b is not null").limit(1).count():
-            links = verified(pairs.where("b is not null"), nodes, docs, grams, rule)
+        pairs = cell_pairs(open_, nodes, roots, rule, low, high)
+        found = pairs.where("b is not null").select("a", "b")
+        if found.limit(1).count():
+            links = verified(found, nodes, docs, grams, rule)
             roots = materialize(components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
-        if not pairs.where("b is null").limit(1).count():
+        more = pairs.where("sign is not null").select("sign").distinct()
+        if not more.limit(1).count():
             break
-        low = high
+        low, open_ = high, lists.join(more, "sign", "left_semi")
     # the smallest doc_id of each component, then of each node, then of each row: the last join alone meets hot nodes
     named = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
