@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import least_hashed, materialize
 from .vectors import dimension, top, usable
 
 SAMPLE, BRANCH, LEAF, BLOCK, CALIBRATE = 16_384, 8, 128, 2048, 128
@@ -135,7 +135,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, *, key: str = "vec_id
     """
     spark, dim = vectors.sparkSession, dimension(vectors, column)
     usual = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"))
-    rows = usual.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow()
+    rows = least_hashed(usual.where(F.size("v") == dim), "id", sample).orderBy("__hash", "id").limit(sample).select("id", "v").toArrow()
     _, x = usable(rows.column("v"), dim, zero=False) if dim and rows.num_rows else (None, np.zeros((0, max(dim, 1))))
     tree = spark.sparkContext.broadcast(Tree(x))  # nodes: at most a few for each LEAF of the sample
     leaves = tree.value.leaves
@@ -198,7 +198,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, *, key: str = "vec_id
 
 def _calibrate(index: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float, sample: int, dim: int) -> int:
     """The number of leaves to visit: the least with which the true neighbours of ``sample`` queries lie in visited leaves at ``recall``."""
-    rows = asked.where(F.size("v") == dim).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample).toArrow() if dim else None
+    rows = least_hashed(asked.where(F.size("v") == dim), "id", sample, 1).orderBy("__hash", "id").limit(sample).select("id", "v").toArrow() if dim else None
     if rows is None or not rows.num_rows:
         return tree.leaves
     good, q = usable(rows.column("v"), dim, zero=False)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _ODD, _powers, materialize, mix, slices, texts_of
+from .common import _BASE, _BYTE, _ODD, _powers, least_hashed, mix, slices, texts_of
 
 BUCKETS, DIMS, NONZERO, BESIDE = 1 << 13, 32, 4, 2
 BLOCK = 64
@@ -130,19 +130,6 @@ def pool(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, vectors: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
-    """Columns ``keep`` and features binary (little-endian 32-bit floats)."""
-    handle = docs.sparkSession.sparkContext.broadcast(vectors)  # buckets x dims floats: 1 MB
-
-    def run(batches):
-        for b in slices(batches, 1024, 4_000_000):
-            x = pool(texts_of(b, "text"), handle.value)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([r.tobytes() for r in x], pa.binary())], [*keep, "features"])
-
-    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, features binary")
-
-
 class Network:
     """standardised input -> tanh layer -> logit / temperature."""
 
@@ -182,32 +169,40 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logit(x.astype(np.float64)) / self.temperature, -500, 500)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, learn_from: str = "true", sample: int = SAMPLE, threshold: float = 0.7, buckets: int = BUCKETS, dims: int = DIMS) -> DataFrame:
-    """doc_id, score double and predicted int for each row of ``docs``.
+def score_quality(docs: DataFrame, labels: DataFrame, *, learn_from: str = "true", sample: int = SAMPLE, threshold: float = 0.7, buckets: int = BUCKETS, dims: int = DIMS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, score double and predicted int for each row of ``docs``.
 
     ``labels`` has doc_id and quality (0 or 1); only labels of rows for which the SQL expression ``learn_from`` over doc_id
-    holds are learned from, at most ``sample`` rows, those of the least hash of doc_id. Of the text alone is scored: no other column
-    is read. Null and empty texts are scored as a document without words. Rows whose label is null are not learned from;
-    where a doc_id has several labels or texts each pair counts. Without labels of both kinds every score is the share of label
-    1 (0.5 without any). Repeated rows get the same score; an empty table gives an empty result.
+    holds are learned from, at most ``sample`` label rows, those of the least hash of doc_id. The text alone is scored: other columns
+    are read only to be kept. Null and empty texts are scored as a document without words. Rows whose label is null are not
+    learned from; where a doc_id has several labels or texts each pair counts. Without labels of both kinds every score is
+    the share of label 1 (0.5 without any). Repeated rows get the same score; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = materialize(features(docs, word_vectors(docs, buckets, dims), ("doc_id",)), "features")
+    vectors = word_vectors(docs, buckets, dims)
     known = labels.where(f"quality is not null and doc_id is not null and ({learn_from})").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = held.join(known, "doc_id").withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "quality").limit(sample).select("features", "quality", "order").collect()
+    known = least_hashed(known, "doc_id", sample).orderBy("__hash", "doc_id", "quality").limit(sample)  # at most ``sample`` short rows
+    handle = docs.sparkSession.sparkContext.broadcast(vectors)  # buckets x dims floats: 1 MB
+
+    def features(batches):
+        for b in slices(batches, 1024, 4_000_000):
+            x = pool(texts_of(b, "text"), handle.value)
+            yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("__hash"), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "hash", "features"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "quality", "__hash")
+    rows = texts.mapInArrow(features, "quality int, hash long, features binary").orderBy("hash", "quality", "features").collect()
     x = np.array([np.frombuffer(r.features, np.float32) for r in rows], np.float64)
     y = np.array([r.quality for r in rows], float)
     if 0 < y.sum() < len(y):
-        network = Network().fit(x, y, np.array([r.order % 10 == 0 for r in rows]))
-        rate = None
+        network, rate = Network().fit(x, y, np.array([r.hash % 10 == 0 for r in rows])), None
     else:
         network, rate = None, float(y.mean()) if len(y) else 0.5
-    handle = docs.sparkSession.sparkContext.broadcast(network)
+    model = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
-        for b in batches:
-            x = np.array([np.frombuffer(r, np.float32) for r in b.column("features").to_pylist()])
-            s = np.full(b.num_rows, rate) if rate is not None else handle.value.score(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+        for b in slices(batches, 1024, 4_000_000):
+            x = pool(texts_of(b, "text"), handle.value)
+            s = np.full(b.num_rows, rate) if rate is not None else model.value.score(x)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return held.mapInArrow(run, "doc_id long, score double, predicted int")
+    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, f"{fields}, score double, predicted int")
