@@ -37,8 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the smallest doc_id."""
-    others = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each group of near duplicates (sets of five words, similarity 0.8 at least) stays: that of the smallest doc_id."""
+    others = near_duplicates(docs, grams=5, num=4, den=5).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
 

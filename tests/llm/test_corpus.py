@@ -250,6 +250,29 @@ def test_colliding_names_get_new_ones(spark):
     assert len(got) == 600 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {v for _, v in names}
 
 
+def test_near_stage_rule(spark):
+    """Sets of five words with a similarity between 0.8 and that of the stricter rule of op5 are near duplicates to the pipeline, too."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, t, "en", "s", len(t)) for i, t in near_rows() if i is not None and t]
+    rows += [(1000 + i, t, "en", "s", len(t)) for i, t in enumerate([" ".join(f"y{k}" for k in range(60)), " ".join(["z", *(f"y{k}" for k in range(8, 60))])])]
+    held = [(i, s) for i, s in sets_of([r[:2] for r in rows], 5)]
+    label = list(range(len(held)))
+    find = lambda k: k if label[k] == k else find(label[k])
+    for a in range(len(held)):
+        for b in range(a):
+            x, y = held[a][1], held[b][1]
+            if x and y and 5 * len(x & y) >= 4 * len(x | y):
+                label[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(held):
+        least[find(k)] = min(i, least.get(find(k), i))
+    want = {i for k, (i, s) in enumerate(held) if not s or least[find(k)] == i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {r.doc_id for r in pipeline.near(spark, docs, "").collect()} == want
+    strict = {i for i, _, c in brute_components([r[:2] for r in rows]) if i == c}
+    assert 1001 in strict - want
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality", "line dedup", "near duplicates", "personal data", "packing"]
