@@ -1,7 +1,7 @@
 """Personal data: detection and keyed surrogates of the same type and form.
 
-**Detected** are e-mail addresses, phone numbers, payment cards (right check digit), IPv4 addresses, national numbers of the form 3-2-4,
-IBANs, cloud access keys, values after words such as ``password=`` and ``token =``, and names after a form of address.
+**Detected** are e-mail addresses, phone numbers (with +, parentheses or parted 3-3-4), payment cards (right check digit), IPv4 addresses, national numbers of the form 3-2-4,
+IBANs, cloud access keys, values after words such as ``password=``, ``API_KEY =`` and ``"db_token": ``, and names after a form of address.
 
 **Surrogates.** A number or key is mapped by a keyed permutation of all strings of its form (a Feistel network over mixed radices): digits
 stay digits, letters stay letters of their case, marks, country codes and issuers stay, check digits are made right. A name
@@ -43,20 +43,23 @@ SYLLABLES = {
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'-]*[\w]"
 _ADDRESSED = re.compile(rf"\b(?P<title>{'|'.join(sorted(ADDRESS, key=len, reverse=True))})\b\.?[ ](?P<name>{_NAME}(?: {_NAME}){{0,2}})")
 _TITLES = tuple(t + s for t in ADDRESS for s in (" ", ". "))
+#: Words that announce a secret, in any case, also within an identifier.
+_WORDS = "password|passwd|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|auth"
 #: In the order in which they claim a place.
 _FORMS = re.compile(
     r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-    |(?:\b(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*["']?)(?P<secret>[A-Za-z0-9+/_\-]{8,})
+    |(?:(?=[PpSsTtAa])(?i:@WORDS@)(?:[_-][A-Za-z0-9_-]{0,64}|[A-Z][a-z][A-Za-z0-9]{0,64}|[0-9]{1,8})?(?:\\?["'])?\s*[=:]\s*(?:\\?["'])?)(?P<secret>[A-Za-z0-9+/_\-]{8,})
     |\b(?P<accesskey>(?:AKIA|ASIA)[A-Z0-9]{16})\b
     |\b(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)\b
-    |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w])|(?<![\w+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w]))
+    |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w])|(?<![\w+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w])
+        |(?<![\w+])(?<![02-9][.-])(?<![0-9]1[.-])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.|[ ][0-9]{3}[ -])[0-9]{4}(?![\w]|[.-][0-9]))
     |(?<![\w.-])(?P<national>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
     |(?<![\w.])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![\w])
     |(?<![\w.])(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?![\w]|\.[0-9])
-    |\b(?P<hexkey>[0-9a-f]{32}(?:[0-9a-f]{8})?(?:[0-9a-f]{24})?)\b""",
+    |\b(?P<hexkey>[0-9a-f]{32}(?:[0-9a-f]{8})?(?:[0-9a-f]{24})?)\b""".replace("@WORDS@", _WORDS),
     re.X,
 )
-_MAY = re.compile(r"[0-9@]|password|secret|token|key|pwd|passw|auth")
+_MAY = re.compile(f"[0-9@]|{_WORDS}", re.I)
 
 
 def luhn(digits: str) -> int:

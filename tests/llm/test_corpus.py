@@ -215,6 +215,23 @@ PRIVATE = 'Mail bo.42@mail8.example.com or +1 (988) 555-2485; card 4035065943088
 CLEAN = "Licensed under the Apache License, Version 2.0. Chapter 4.0 has 1234 pages, 4035065943088455 is no card, 999.1.1.1 no host."
 
 
+FORMS = [
+    ("Password: Tr0ubadour9x", "Tr0ubadour9x"), ("API_KEY=Zk3Lm9Qp2Xv7Bn", "Zk3Lm9Qp2Xv7Bn"), ("db_password=hunter2hunter2", "hunter2hunter2"), ('auth_token = "Zk3Lm9Qp2Xv7Bn"', "Zk3Lm9Qp2Xv7Bn"),
+    ('{"password": "Tr0ubadour9x"}', "Tr0ubadour9x"), ('{\\"secretKey\\": \\"Tr0ubadour9x\\"}', "Tr0ubadour9x"), ("passphrase: correct-horse-battery", "correct-horse-battery"), ("PASSPHRASE: correct-horse-battery", "correct-horse-battery"), ("dbPassword2: Tr0ubadour9x", "Tr0ubadour9x"),
+    ('TOKEN = "9233A8ECF7C5B09FE5949719B6"', "9233A8ECF7C5B09FE5949719B6"), ("api_key_prod: Zk3Lm9Qp2Xv7Bn", "Zk3Lm9Qp2Xv7Bn"), ("call 212-555-0147.", "212-555-0147"), ("call 212.555.0147", "212.555.0147"), ("1-212-555-0147", "212-555-0147"), ("212 555-0147 2 times", "212 555-0147"),
+]
+
+
+@pytest.mark.parametrize("text,value", FORMS)
+def test_detected_forms(text, value):
+    assert [text[a:z] for a, z, _ in surrogates.detect(text)] == [value]
+
+
+@pytest.mark.parametrize("text", ["Author: Shakespeare and AUTHORITY: PARLIAMENT", "order 5-212-555-0147", "12-212-555-0147-3", "authors = Shakespeare", "212-555-01478", "a token of friendship"])
+def test_other_forms_stay(text):
+    assert not surrogates.detect(text)
+
+
 def test_surrogates_in_documents(spark):
     rows = [(0, PRIVATE), (1, CLEAN), (2, None), (3, ""), (4, "again bo.42@mail8.example.com"), (4, "again bo.42@mail8.example.com"), (None, "55.37.227.225"), (5, "x" * 200_000 + " 55.37.227.225")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "2 as value", "3 as kinds").repartition(3)
