@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .voxel import boundary
+
 
 def gradient(x: Column, w: Window) -> Column:
     """Central differences, one-sided at the ends."""
@@ -64,14 +66,16 @@ def link_branches(components: DataFrame, most_mm: float) -> DataFrame:
 
 
 def surface_distances(a: DataFrame, b: DataFrame, spacing: Sequence[float], tolerance: float) -> DataFrame:
-    """(case_id, hd95, surface_dice) of the boundary voxels (case_id, z, y, x) of two masks.
+    """(case_id, hd95, surface_dice) of two masks (case_id, z, y, x), between their surfaces: voxels that lack one of their six neighbours.
 
-    Every boundary voxel is held against those of the other mask of its case: for the small structures that readers compare.
+    Where exactly one mask of a case is empty the distance is infinite and the overlap 0; a case without either has no row. Every surface voxel is
+    held against those of the other mask of its case: for the small structures that readers compare.
     """
     s = dict(zip("xyz", spacing, strict=True))
-    p = a.withColumn("side", F.lit(0)).union(b.withColumn("side", F.lit(1)))
-    q = p.select("case_id", F.col("side").alias("to"), *[F.col(c).alias(f"_{c}") for c in "zyx"])
+    p = boundary(a).withColumn("side", F.lit(0)).union(boundary(b).withColumn("side", F.lit(1)))
+    q = p.select("case_id", (1 - F.col("side")).alias("side"), *[F.col(c).alias(f"_{c}") for c in "zyx"])
     d = F.sqrt(sum((((F.col(c) - F.col(f"_{c}")) * float(s[c])) ** 2 for c in "zyx"), F.lit(0.0)))
-    near = p.join(q, "case_id").where("side <> to").groupBy("case_id", "side", "z", "y", "x").agg(F.min(d).alias("d"))
-    by_side = near.groupBy("case_id", "side").agg(F.percentile("d", 0.95).alias("p95"), F.count_if(F.col("d") <= tolerance).alias("close"), F.count("*").alias("n"))
+    near = p.join(q, ["case_id", "side"], "left").groupBy("case_id", "side", "z", "y", "x").agg(F.coalesce(F.min(d), F.lit(float("inf"))).alias("d"))
+    by_side = near.groupBy("case_id", "side").agg(F.percentile("d", 0.95).alias("p95"), F.count_if(F.col("d") <= tolerance).alias("close"), F.count("*").alias("n"), F.max("d").alias("most"))
+    by_side = by_side.withColumn("p95", F.when(F.col("most") == float("inf"), F.col("most")).otherwise(F.col("p95")))
     return by_side.groupBy("case_id").agg(F.max("p95").alias("hd95"), (F.sum("close") / F.sum("n")).alias("surface_dice"))

@@ -163,42 +163,6 @@ def angle_sector(dy: Column, dx: Column, sectors: int) -> Column:
     return F.least(F.lit(sectors - 1), F.floor((F.atan2(dy, dx) + math.pi) / (2 * math.pi) * sectors).cast("int"))
 
 
-def components(mask: DataFrame, reach: int = 1) -> DataFrame:
-    """26-connected components of each case: (case_id, z, y, x, component), numbered from 1 by their first voxel.
-
-    One task a case with union-find over runs of voxels; a case is a bounded image, so its mask fits a task.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["z", "y", "x"], kind="stable").reset_index(drop=True)
-        at = pdf[["z", "y", "x"]].to_numpy(np.int64)
-        base = at - at.min(0)
-        size = base.max(0) + 1 + 2 * reach
-        code = ((base[:, 0] + reach) * size[1] + base[:, 1] + reach) * size[2] + base[:, 2] + reach
-        parent = np.arange(len(code))
-        span = range(-reach, reach + 1)
-        steps = [(a * size[1] + b) * size[2] + c for a in span for b in span for c in span if (a, b, c) > (0, 0, 0)]
-        while True:  # hook to the least neighbour, then shorten
-            before = parent.copy()
-            for s in steps:
-                i = np.minimum(np.searchsorted(code, code + s), len(code) - 1)
-                hit = np.flatnonzero(code[i] == code + s)
-                low = np.minimum(parent[hit], parent[i[hit]])
-                np.minimum.at(parent, hit, low)
-                np.minimum.at(parent, i[hit], low)
-            while (shorter := parent[parent]).tolist() != parent.tolist():
-                parent = shorter
-            if (parent == before).all():
-                break
-        pdf["component"] = (np.unique(parent, return_inverse=True)[1] + 1).astype(np.int32)
-        return pdf
-
-    schema = "case_id int, z int, y int, x int, component int"
-    return mask.select(*AT).groupBy("case_id").applyInPandas(label, schema)
-
-
 def largest_component(labelled: DataFrame) -> DataFrame:
     """Voxels of each case's largest component, ties to the smaller number."""
     sizes = labelled.groupBy("case_id", "component").agg(F.count("*").alias("n"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..operators import evaluate as E
 from ..operators import geometry as G
+from ..operators import masks as K
 from ..operators import voxel as V
 from .aggregates import rounded
 from .registry import query, read
@@ -74,7 +77,7 @@ def quality_rules(spark, d):
 
 @query(f"""{GRID}, e AS (SELECT case_id, y AS angle, max(x) AS r FROM v WHERE hu > 100 GROUP BY 1, 2), w AS (SELECT case_id, (angle + o + 12) % 12 AS angle, r FROM e, (SELECT unnest([-2, -1, 0, 1, 2]) AS o)) SELECT case_id, CAST(angle AS INTEGER) AS angle, median(r)::DOUBLE AS expected FROM w GROUP BY 1, 2""")
 def circular_medians(spark, d):
-    e = grid(spark).where("hu > 100").groupBy("case_id", F.col("y").alias("angle")).agg(F.max("x").alias("r"))
+    e = grid(spark, d).where("hu > 100").groupBy("case_id", F.col("y").alias("angle")).agg(F.max("x").alias("r"))
     return G.circular_median(e, ["case_id"], "angle", "r", 12, 2)
 
 
@@ -83,19 +86,26 @@ g1 AS (SELECT case_id, o, {', '.join(f"CASE WHEN lag({c}) OVER w IS NULL THEN le
 h AS (SELECT case_id, o, z1, y1, x1, {', '.join(f"CASE WHEN lag({c}1) OVER w IS NULL THEN lead({c}1) OVER w - {c}1 WHEN lead({c}1) OVER w IS NULL THEN {c}1 - lag({c}1) OVER w ELSE (lead({c}1) OVER w - lag({c}1) OVER w) / 2 END AS {c}2" for c in 'zyx')} FROM g1 WINDOW w AS (PARTITION BY case_id ORDER BY o))
 SELECT case_id, o, round(sqrt(power(y1 * x2 - x1 * y2, 2) + power(x1 * z2 - z1 * x2, 2) + power(z1 * y2 - y1 * z2, 2)) / power(sqrt(z1 * z1 + y1 * y1 + x1 * x1), 3), 6) AS curvature FROM h""")
 def centerline_curvature(spark, d):
-    c = grid(spark).where("hu > 100").groupBy("case_id", F.col("z").alias("o")).agg(F.avg("y").alias("y"), F.avg("x").alias("x")).withColumn("z", 3.0 * F.col("o"))
+    c = grid(spark, d).where("hu > 100").groupBy("case_id", F.col("z").alias("o")).agg(F.avg("y").alias("y"), F.avg("x").alias("x")).withColumn("z", 3.0 * F.col("o"))
     return rounded(G.curvature(c, ["case_id"], "o").select("case_id", "o", "curvature"), ("curvature",))
 
 
-@query(f"""{GRID}, a AS (SELECT * FROM v WHERE {BALL}), b AS (SELECT * FROM v WHERE {MOVED}),
+def surface(rule):
+    """SQL for voxels of a rule's ball that lack one of their six neighbours."""
+    near = [re.sub(rf"\b{c}\b", f"({c} {o} 1)", rule) for c in "zyx" for o in "+-"]
+    return f"({rule}) AND NOT ({' AND '.join(near)})"
+
+
+@query(f"""{GRID}, a AS (SELECT * FROM v WHERE {surface(BALL)}), b AS (SELECT * FROM v WHERE {surface(MOVED)} AND case_id <> 1),
 d AS (SELECT a.case_id, 0 AS side, a.z, a.y, a.x, min(sqrt(power(3.0 * (a.z - b.z), 2) + power(2.0 * (a.y - b.y), 2) + power(1.0 * (a.x - b.x), 2))) AS d FROM a JOIN b USING (case_id) GROUP BY ALL UNION ALL SELECT a.case_id, 1, b.z, b.y, b.x, min(sqrt(power(3.0 * (a.z - b.z), 2) + power(2.0 * (a.y - b.y), 2) + power(1.0 * (a.x - b.x), 2))) FROM a JOIN b USING (case_id) GROUP BY ALL),
-s AS (SELECT case_id, side, quantile_cont(d, 0.95) AS p, count(*) FILTER (WHERE d <= 1) AS c, count(*) AS n FROM d GROUP BY 1, 2) SELECT case_id, round(max(p), 6) AS hd95, round(sum(c) / sum(n), 6) AS surface_dice FROM s GROUP BY 1""")
+s AS (SELECT case_id, side, quantile_cont(d, 0.95) AS p, count(*) FILTER (WHERE d <= 1) AS c, count(*) AS n FROM d GROUP BY 1, 2) SELECT case_id, round(max(p), 6) AS hd95, round(sum(c) / sum(n), 6) AS surface_dice FROM s GROUP BY 1 UNION ALL SELECT 1, -1, 0""")
 def mask_distances(spark, d):
-    return rounded(G.surface_distances(ball(spark), ball(spark, MOVED), SPACING, 1.0), ("hd95", "surface_dice"))
+    out = G.surface_distances(ball(spark, d), ball(spark, d, MOVED).where("case_id <> 1"), SPACING, 1.0)
+    return rounded(out.withColumn("hd95", F.when(F.col("hd95") < float("inf"), F.col("hd95")).otherwise(-1.0)), ("hd95", "surface_dice"))
 
 
 @query()
 def branch_links(spark, d):
-    c = V.components(grid(spark).where("hu >= 380")).groupBy("case_id", "z", "component").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
+    c = K.components(grid(spark, d).where("hu >= 380")).groupBy("case_id", "z", "component").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
     linked = G.link_branches(c, 3.0)
     return linked.groupBy("case_id", "branch").agg(F.count("*").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))

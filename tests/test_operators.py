@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import clean as C
 from tessera.functions import predicates as P
 from tessera.operators import joins as J
+from tessera.operators import masks as K
 from tessera.operators import ml as M
 from tessera.operators import reshape as R
 from tessera.operators import score as S
@@ -139,7 +140,7 @@ def test_volumes(spark):
     r = V.threshold_summary(v, [300], (1.0, 2.0, 3.0)).first()
     assert (r.n, r.volume_mm3, r.max_hu) == (3, 18.0, 350.0)
     assert V.threshold_summary(v, [500], (1.0, 1.0, 1.0)).first().max_hu is None
-    c = V.components(v.where("hu > 0"))
+    c = K.components(v.where("hu > 0"))
     assert values(c.groupBy("component").count(), "component") == [(1, 2), (2, 1)]
     assert values(V.largest_component(c).select("x"), "x") == [(0,), (1,)]
     d = V.distance_within(v.where("hu > 0"), 1.0, (1.0, 1.0, 1.0))
