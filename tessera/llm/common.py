@@ -1,14 +1,8 @@
-"""What the corpus operators share: reading tables, shipping code, shared storage and byte-level words.
-
-Working data that a later job reads again goes to the folder in ``spark.checkpoint.dir`` as Parquet,
-so a lost executor costs a re-read and never a file that only one machine had.
-"""
+"""What the corpus operators share: reading tables, shipping code and byte-level words."""
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -17,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, release, shared_dir  # noqa: F401
+
 _SHIPPED: set[str] = set()
 
 
@@ -34,20 +30,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests on one machine), one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-work-{os.getuid()}")
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with marks added until no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +69,6 @@ def slices(batches, rows: int = 256, chars: int = 1_000_000):
 # ---------------------------------------------------------------- words as hashes
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,45 +82,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64, store: dict = {}) -> np.ndarray:  # noqa: B006
-    have = store.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        store[int(base)] = have
-    return have[:n]
+#: Bytes of a text that are held as numbers at a time.
+PIECE = 1 << 18
+_BASE = np.uint64(0xD1342543DE82EF95)
+_POWERS = np.full(PIECE, _BASE, np.uint64)
+_POWERS[0] = 1
+_POWERS = np.multiply.accumulate(_POWERS)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_LOWERED = _BYTE.copy()
+_LOWERED[65:91] = _BYTE[97:123]
+_WORD = (~_SPACE).astype(np.uint16)
+
 
+def run_hashes(raw: bytes, kind: np.ndarray, value: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of every run of bytes of one ``kind``, those of kind 0 apart.
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_BASE = np.uint64(0xD1342543DE82EF95)
+    The hash is a polynomial over ``value`` of the bytes, aligned to the run's start, and finished by ``mix`` with its length. Bytes are read
+    ``PIECE`` at a time, a run that is cut goes on in the next piece: besides the runs, memory doesn't grow with the text.
+    """
+    starts, sums, lengths, held = [], [], [], None
+    for at in range(0, len(raw), PIECE):
+        b = np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - at), at)
+        of = kind[b]
+        start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        length = np.diff(np.append(start, len(b)))
+        total = np.add.reduceat(value[b] * _POWERS[np.arange(len(b)) - np.repeat(start, length)], start)
+        of, start = of[start], start + at
+        if held is not None:
+            if held[0] == of[0]:
+                total[:1] = total[:1] * np.uint64(pow(int(_BASE), int(held[3]), 1 << 64)) + held[2]
+                start[0], length[0] = held[1], length[0] + held[3]
+            elif held[0]:
+                starts.append(np.array([held[1]]))
+                sums.append(np.array([held[2]], np.uint64))
+                lengths.append(np.array([held[3]]))
+        held = (of[-1], start[-1], total[-1], length[-1])
+        word = np.flatnonzero(of[:-1])
+        starts.append(start[word])
+        sums.append(total[word])
+        lengths.append(length[word])
+    if held is not None and held[0]:
+        starts.append(np.array([held[1]]))
+        sums.append(np.array([held[2]], np.uint64))
+        lengths.append(np.array([held[3]]))
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), mix(np.concatenate(sums) + np.concatenate(lengths).astype(np.uint64) * _ODD)
+
+
+def joined(texts: list[str], errors: str = "surrogatepass") -> tuple[bytes, np.ndarray]:
+    """The texts in UTF-8 with newlines between, and where each begins, with the end of all."""
+    parts = [t.encode("utf-8", errors) for t in texts]
+    return b"\n".join(parts), np.cumsum([0, *(len(p) + 1 for p in parts)])
 
 
 def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): a 64-bit hash for every word of every text in order, and the number of words of each text.
 
     A word is a run without space, tab, newline, vertical tab, form feed and carriage return.
-    Polynomial over random byte values, aligned to the word's start and finished by ``mix`` with its length.
     """
-    raw = "\n".join(texts).encode("utf-8", "surrogatepass")
-    b = np.frombuffer(raw, np.uint8)
-    ends_of_text = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-    if not len(b):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[b]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    counts = np.diff(np.searchsorted(start, np.concatenate([[0], ends_of_text])))
-    if not len(start):
-        return np.zeros(0, np.uint64), counts
-    if lower:
-        b = _LOWER[b]
-    # the power restarts at each word, so equal words get equal sums
-    length = end - start
-    in_word = np.flatnonzero(inside[1:-1])
-    first = np.concatenate([[0], np.cumsum(length)])
-    offset = np.arange(len(in_word)) - np.repeat(first[:-1], length)
-    h = _BYTE[b[in_word]] * _powers(int(length.max()), _BASE)[offset]
-    return mix(np.add.reduceat(h, first[:-1]) + length.astype(np.uint64) * _ODD), counts
+    raw, begin = joined(texts)
+    start, hashes = run_hashes(raw, _WORD, _LOWERED if lower else _BYTE)
+    return hashes, np.diff(np.searchsorted(start, begin))

@@ -21,15 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _ODD, _powers, least_hashed, mix, slices, texts_of
+from .common import joined, least_hashed, run_hashes, slices, texts_of
 
 BUCKETS, DIMS, NONZERO, BESIDE = 1 << 13, 32, 4, 2
 BLOCK = 64
+#: Words whose vectors or contexts are held at a time; characters of a slice of texts.
+WORDS, CHARS = 1 << 16, 2_000_000
 SAMPLE = 20_000
 
 
 def _classes() -> np.ndarray:
-    out = np.arange(256) + 8
+    out = np.arange(256, dtype=np.uint16) + 8
     out[[32, 9, 10, 11, 12, 13]] = 0
     out[97:123] = out[128:256] = 1
     out[65:91] = 2
@@ -42,19 +44,9 @@ _CLASS = _classes()
 
 def class_words(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every word in order, number of words of each text); words are runs of one character class."""
-    raw = "\n".join(texts).encode("utf-8", "replace")
-    b = np.frombuffer(raw, np.uint8)
-    stop = np.cumsum([len(t.encode("utf-8", "replace")) + 1 for t in texts])
-    if not len(b):
-        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    kind = _CLASS[b]
-    start = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
-    length = np.diff(np.append(start, len(b)))
-    offset = np.arange(len(b)) - np.repeat(start, length)
-    h = np.add.reduceat(_BYTE[b] * _powers(int(length.max()), _BASE)[offset], start) + length.astype(np.uint64) * _ODD
-    word = kind[start] > 0
-    start, h = start[word], h[word]
-    return (mix(h) % np.uint64(buckets)).astype(np.int64), np.diff(np.searchsorted(start, np.concatenate([[0], stop])))
+    raw, begin = joined(texts, "replace")
+    start, hashes = run_hashes(raw, _CLASS)
+    return (hashes % np.uint64(buckets)).astype(np.int32), np.diff(np.searchsorted(start, begin))
 
 
 def index_vectors(buckets: int, dims: int, nonzero: int = NONZERO, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -65,17 +57,20 @@ def index_vectors(buckets: int, dims: int, nonzero: int = NONZERO, seed: int = 1
 
 
 def add_contexts(sums: np.ndarray, words: np.ndarray, counts: np.ndarray, places: np.ndarray, signs: np.ndarray, beside: int = BESIDE) -> None:
-    """Add to each word's row of ``sums`` the index vectors of the words beside it in the same text."""
+    """Add to each word's row of ``sums`` the index vectors of the words beside it in the same text, ``WORDS`` words at a time."""
     buckets, dims = sums.shape
-    text = np.repeat(np.arange(len(counts)), counts)
-    flat = np.zeros(buckets * dims)
-    for gap in range(1, beside + 1):
-        same = text[gap:] == text[:-gap]
-        left, right = words[:-gap][same], words[gap:][same]
-        for a, b in ((left, right), (right, left)):
-            for k in range(places.shape[1]):
-                flat += np.bincount(a * dims + places[b, k], signs[b, k], buckets * dims)
-    sums += flat.reshape(buckets, dims).astype(np.int64)
+    stop = np.cumsum(counts)
+    for at in range(0, len(words), WORDS):
+        w = words[at : at + WORDS + beside].astype(np.int64)
+        left = np.arange(at, min(at + WORDS, len(words)))
+        left = stop[np.searchsorted(stop, left, "right")] - left  # words from here to the text's end
+        flat = np.zeros(buckets * dims)
+        for gap in range(1, beside + 1):
+            i = np.flatnonzero(left > gap)
+            for a, b in ((w[i], w[i + gap]), (w[i + gap], w[i])):
+                for k in range(places.shape[1]):
+                    flat += np.bincount(a * dims + places[b, k], signs[b, k], buckets * dims)
+        sums += flat.reshape(buckets, dims).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame, buckets: int = BUCKETS, dims: int = DIMS) -> np.ndarray:
@@ -83,7 +78,7 @@ def word_vectors(docs: DataFrame, buckets: int = BUCKETS, dims: int = DIMS) -> n
 
     def count(batches):
         sums, (places, signs) = np.zeros((buckets, dims), np.int64), index_vectors(buckets, dims)
-        for b in slices(batches, 4096, 8_000_000):
+        for b in slices(batches, 4096, CHARS):
             words, counts = class_words(texts_of(b, "text"), buckets)
             if len(words):
                 add_contexts(sums, words, counts, places, signs)
@@ -111,22 +106,35 @@ def word_vectors(docs: DataFrame, buckets: int = BUCKETS, dims: int = DIMS) -> n
 
 
 def pool(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """A row of features for each text; an empty text gives zeros."""
+    """A row of features for each text; an empty text gives zeros.
+
+    Texts are cut into parts of at most ``WORDS`` words, and about so many words' vectors are held at a time. Parts are counted from each
+    text's own start, so a text's features don't depend on its neighbours.
+    """
     words, counts = class_words(texts, len(vectors))
-    out = np.zeros((len(texts), 3 * vectors.shape[1] + 1), np.float32)
+    dims, stop = vectors.shape[1], np.cumsum(counts)
+    sums = np.zeros((len(texts), 3 * dims))
+    parts = -(-counts // WORDS)
+    of = np.repeat(np.arange(len(texts)), parts)
+    first = (stop - counts)[of] + WORDS * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    last = np.minimum(first + WORDS, stop[of])
+    at = 0
+    while at < len(of):
+        end = max(at + 1, int(np.searchsorted(last, first[at] + WORDS, "right")))
+        a, z = first[at], last[end - 1]
+        v = vectors[words[a : min(z + 1, len(words))]]
+        beside = v[: z - a].copy()
+        beside[: len(v) - 1] *= v[1 : z - a + 1]
+        beside[stop[of[at:end]][stop[of[at:end]] <= z] - 1 - a] = 0  # no neighbour across texts
+        v = v[: z - a]
+        start = first[at:end] - a
+        np.add.at(sums, of[at:end], np.concatenate([np.add.reduceat(v, start), np.add.reduceat(v * v, start), np.add.reduceat(beside, start)], 1))
+        at = end
+    out = np.zeros((len(texts), 3 * dims + 1), np.float32)
     some = np.flatnonzero(counts)
-    if not len(some):
-        return out
-    start = np.concatenate([[0], np.cumsum(counts)[:-1]])[some]
-    n = counts[some][:, None]
-    v = vectors[words]
-    mean = np.add.reduceat(v, start) / n
-    spread = np.sqrt(np.maximum(np.add.reduceat(v * v, start) / n - mean**2, 0))
-    beside = np.zeros_like(v)
-    beside[:-1] = v[:-1] * v[1:]
-    beside[np.cumsum(counts[some]) - 1] = 0  # no neighbour across texts
-    scale = np.sqrt(vectors.shape[1])
-    out[some] = np.concatenate([mean * scale, spread * scale, np.add.reduceat(beside, start) / n * scale**2, np.log1p(n) / 4], 1)
+    n, scale = counts[some][:, None], np.sqrt(dims)
+    mean, square, beside = (sums[some, i * dims : (i + 1) * dims] / n for i in range(3))
+    out[some] = np.concatenate([mean * scale, np.sqrt(np.maximum(square - mean**2, 0)) * scale, beside * scale**2, np.log1p(n) / 4], 1)
     return out
 
 
@@ -184,7 +192,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, learn_from: str = "true
     handle = docs.sparkSession.sparkContext.broadcast(vectors)  # buckets x dims floats: 1 MB
 
     def features(batches):
-        for b in slices(batches, 1024, 4_000_000):
+        for b in slices(batches, 1024, CHARS):
             x = pool(texts_of(b, "text"), handle.value)
             yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("__hash"), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "hash", "features"])
 
@@ -199,7 +207,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, learn_from: str = "true
     model = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
-        for b in slices(batches, 1024, 4_000_000):
+        for b in slices(batches, 1024, CHARS):
             x = pool(texts_of(b, "text"), handle.value)
             s = np.full(b.num_rows, rate) if rate is not None else model.value.score(x)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
