@@ -1,15 +1,19 @@
 """Personal data: detection and keyed surrogates of the same type and form.
 
 **Detected** are e-mail addresses, phone numbers (with +, parentheses or parted 3-3-4), payment cards (right check digit), IPv4 addresses, national numbers of the form 3-2-4,
-IBANs, cloud access keys, values after words such as ``password=``, ``API_KEY =`` and ``"db_token": ``, and names after a form of address.
+IBANs, cloud access keys, values after words such as ``password=``, ``API_KEY =`` and ``"db_token": ``, and names after a form of address, in
+Latin and Cyrillic script; names in other scripts aren't looked for. Time grows in proportion to a text's length.
 
 **Surrogates.** A number or key is mapped by a keyed permutation of all strings of its form (a Feistel network over mixed radices): digits
 stay digits, letters stay letters of their case, marks, country codes and issuers stay, check digits are made right. A name
-part becomes a keyed name of the same gender, script and case. Equal values get equal surrogates in all documents.
+part becomes a keyed name of the same gender, script and case; where the corpus uses one name in several roles, the role of most rows
+decides for all. Equal values get equal surrogates in all documents, names whatever their case.
 
 **Collisions.** All distinct values of the corpus are listed. A surrogate that two values share, or that is itself a value of the
 corpus, is made anew with the next attempt number, until there is none. Permutations rarely need that; names may.
 
+**Key.** Whoever has the key can undo the permutations. Without a key one is drawn at random for the run and kept nowhere.
+
 Only documents with a detected value are joined with the list; all others pass by without a shuffle.
 """
 
@@ -17,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, texts_of
+from .common import materialize, slices, texts_of, unused
 
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
@@ -40,15 +46,16 @@ SYLLABLES = {
     "cyrillic": ("бал вер гор дар жан зор кал лор мар нор пел рос сал тор".split(), "а е и о у ан ен ин".split(), {"m": "дор мир рик слав тон".split(), "f": "ла на рия лина тта".split(), "": "берг дорф ский штейн вель".split()}),
 }
 
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'-]*[\w]"
+#: A part of a name has 2 to 64 characters.
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'-]{0,62}\w(?![\w])"
 _ADDRESSED = re.compile(rf"\b(?P<title>{'|'.join(sorted(ADDRESS, key=len, reverse=True))})\b\.?[ ](?P<name>{_NAME}(?: {_NAME}){{0,2}})")
+_WORD = re.compile(r"\w+")
 _TITLES = tuple(t + s for t in ADDRESS for s in (" ", ". "))
 #: Words that announce a secret, in any case, also within an identifier.
 _WORDS = "password|passwd|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|auth"
-#: In the order in which they claim a place.
+#: In the order in which they claim a place; each but the secret has a bounded length, so a search takes time in proportion to the text.
 _FORMS = re.compile(
-    r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-    |(?:(?=[PpSsTtAa])(?i:@WORDS@)(?:[_-][A-Za-z0-9_-]{0,64}|[A-Z][a-z][A-Za-z0-9]{0,64}|[0-9]{1,8})?(?:\\?["'])?\s*[=:]\s*(?:\\?["'])?)(?P<secret>[A-Za-z0-9+/_\-]{8,})
+    r"""(?:(?=[PpSsTtAa])(?i:@WORDS@)(?:[_-][A-Za-z0-9_-]{0,64}|[A-Z][a-z][A-Za-z0-9]{0,64}|[0-9]{1,8})?(?:\\?["'])?\s*[=:]\s*(?:\\?["'])?)(?P<secret>[A-Za-z0-9+/_\-]{8,})
     |\b(?P<accesskey>(?:AKIA|ASIA)[A-Z0-9]{16})\b
     |\b(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)\b
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w])|(?<![\w+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w])
@@ -59,7 +66,7 @@ _FORMS = re.compile(
     |\b(?P<hexkey>[0-9a-f]{32}(?:[0-9a-f]{8})?(?:[0-9a-f]{24})?)\b""".replace("@WORDS@", _WORDS),
     re.X,
 )
-_MAY = re.compile(f"[0-9@]|{_WORDS}", re.I)
+_MAY = re.compile(f"[0-9]|{_WORDS}", re.I)
 
 
 def luhn(digits: str) -> int:
@@ -88,33 +95,97 @@ def _script(word: str) -> str:
     return "cyrillic" if re.match("[А-яЁё]", word) else "latin"
 
 
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+")
+_TOP = re.compile("[A-Za-z]{2,}")
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of each e-mail address: what stands about each @."""
+    found, last = [], 0
+    at = text.find("@")
+    while at >= 0:
+        a = at
+        while a > last and text[a - 1] in _LOCAL:
+            a -= 1
+        while a < at and text[a] in "._%+-":
+            a += 1
+        z = 0
+        if a < at and (m := _DOMAIN.match(text, at + 1)):
+            labels = m[0].split(".")
+            end = m.end()
+            for i in range(len(labels) - 1, 0, -1):
+                if top := _TOP.match(labels[i]):
+                    z = end - len(labels[i]) + top.end()
+                    break
+                end -= len(labels[i]) + 1
+        if z:
+            found.append((a, z))
+            last = z
+        at = text.find("@", max(at + 1, z))
+    return found
+
+
+class Places:
+    """Spans apart from each other, in order."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.spans = spans
+        self.begins = [s[0] for s in spans]
+
+    def free(self, a: int, z: int) -> bool:
+        i = bisect_left(self.begins, z)
+        return not i or self.spans[i - 1][1] <= a
+
+
+def names(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Names after a form of address, and the same names, also in capitals, elsewhere in the text, where ``taken`` leaves room."""
+    places, found, known = Places(taken), [], {}
+    for m in _ADDRESSED.finditer(text):
+        words, gender, at = m["name"].split(" "), ADDRESS[m["title"]], m.start("name")
+        for i, w in enumerate(words):
+            known[w] = kind = f"{'surname' if i == len(words) - 1 else 'given' + gender}.{_script(w)}"
+            if places.free(at, at + len(w)):
+                found.append((at, at + len(w), kind))
+            at += len(w) + 1
+    if not known:
+        return found
+    known |= {w.upper(): kind for w, kind in known.items()}
+    places = Places(sorted(taken + found))
+    lengths: dict[str, list[int]] = {}  # of the known names by their first word
+    for w in known:
+        lengths.setdefault(_WORD.match(w)[0], []).append(len(w))
+    lengths = {w: sorted(set(n), reverse=True) for w, n in lengths.items()}
+    last = 0
+    for m in _WORD.finditer(text):
+        a = m.start()
+        for n in lengths.get(m[0], ()):
+            w = text[a : a + n]
+            if a >= last and w in known and not (text[a + n : a + n + 1] and _WORD.match(text, a + n)):
+                if places.free(a, a + n):
+                    found.append((a, a + n, known[w]))
+                    last = a + n
+                break
+    return found
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, kind) of each value, in order and apart from each other."""
-    found: list[tuple[int, int, str]] = []
+    """(begin, end, kind) of each value, in order and apart from each other: addresses first, then other forms from left to right, then names."""
+    found = [(a, z, "email") for a, z in addresses(text)]
     if _MAY.search(text):
-        at = 0
+        places, at = Places(found), 0
+        found = found.copy()
         while m := _FORMS.search(text, at):
             kind = m.lastgroup
             a, z = m.span(kind)
-            if _valid(kind, m[kind]):
+            if _valid(kind, m[kind]) and places.free(a, z):
                 found.append((a, z, kind))
                 at = max(z, at + 1)
             else:
                 at = m.start() + 1
+        found.sort()
     if any(t in text for t in _TITLES):
-        free = lambda a, z: all(z <= x or y <= a for x, y, _ in found)
-        known: dict[str, str] = {}
-        for m in _ADDRESSED.finditer(text):
-            words, gender, at = m["name"].split(" "), ADDRESS[m["title"]], m.start("name")
-            for i, w in enumerate(words):
-                known[w] = kind = f"{'surname' if i == len(words) - 1 else 'given' + gender}.{_script(w)}"
-                if free(at, at + len(w)):
-                    found.append((at, at + len(w), kind))
-                at += len(w) + 1
-        for w, kind in known.items():  # the same names without a form of address
-            for m in re.finditer(rf"\b{re.escape(w)}\b", text):
-                if free(*m.span()):
-                    found.append((*m.span(), kind))
+        found += names(text, found)
     return sorted(found)
 
 
@@ -207,15 +278,25 @@ def _surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
     return surrogate(kind, value, key, attempt)
 
 
+def role(kind: str, value: str) -> tuple[str, str]:
+    """What a value's surrogate is looked up by: names by their small letters, whatever their role."""
+    return ("name", value.lower()) if "." in kind else (kind, value)
+
+
+def cased(name: str, like: str) -> str:
+    return name.upper() if like.isupper() and len(like) > 1 else name.capitalize()
+
+
 def assign(values: DataFrame, key: bytes, most_rounds: int = 64) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value): surrogates differ from each other and from all values."""
+    """``values`` (kind, value, role, n), distinct by (kind, value), with surrogates that differ from each other and from all values."""
 
     def make(batches):
         for b in batches:
-            rows = zip(b.column("kind").to_pylist(), b.column("value").to_pylist(), b.column("attempt").to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("value"), b.column("attempt"), pa.array([_surrogate(k, v, key, a) for k, v, a in rows], pa.string())], ["kind", "value", "attempt", "surrogate"])
+            rows = zip(b.column("kind").to_pylist(), b.column("value").to_pylist(), b.column("role").to_pylist(), b.column("attempt").to_pylist(), strict=True)
+            new = [_surrogate(r, v, key, a).lower() if k == "name" else _surrogate(r, v, key, a) for k, v, r, a in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], [*b.schema.names, "surrogate"])
 
-    schema = "kind string, value string, attempt int, surrogate string"
+    schema = "kind string, value string, role string, n long, attempt int, surrogate string"
     held = materialize(values.withColumn("attempt", F.lit(0)).mapInArrow(make, schema), "surrogates")
     originals = values.select(F.col("value").alias("surrogate")).distinct()
     for _ in range(most_rounds):
@@ -224,28 +305,38 @@ def assign(values: DataFrame, key: bytes, most_rounds: int = 64) -> DataFrame:
         bad = kept.where("n > 1").select("surrogate", "owner").union(held.join(originals, "surrogate", "left_semi").select("surrogate", F.lit(None).cast("struct<attempt:int,kind:string,value:string>").alias("owner")))
         bad = materialize(bad.groupBy("surrogate").agg(F.min_by("owner", F.col("owner").isNotNull()).alias("owner")), "collisions")
         if not bad.limit(1).count():
-            return held.select("kind", "value", "surrogate")
+            return held.drop("attempt")
         marked = held.join(bad.withColumn("hit", F.lit(True)), "surrogate", "left")
         again = F.col("hit").isNotNull() & ~F.coalesce(F.struct("attempt", "kind", "value") == F.col("owner"), F.lit(False))
-        held = materialize(marked.select("kind", "value", (F.col("attempt") + again.cast("int")).alias("attempt")).mapInArrow(make, schema), "surrogates")
+        held = materialize(marked.select("kind", "value", "role", "n", (F.col("attempt") + again.cast("int")).alias("attempt")).mapInArrow(make, schema), "surrogates")
     raise RuntimeError("surrogates still collide")
 
 
-def replace_personal(docs: DataFrame, *, key: bytes = b"documented default key; give your own", text: str = "text") -> DataFrame:
+#: A value with more than this share of all uses is frequent; fewer than 1 / FREQUENT values are.
+FREQUENT = 0.001
+
+
+def replace_personal(docs: DataFrame, *, key: bytes | None = None, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and n_replaced long (places), kinds string (their kinds, sorted, comma between).
 
-    A null text stays null. Rows without personal data stay as they are. Repeated rows get the same replacements. An empty table gives an
-    empty result. All columns stay; columns named n_replaced or kinds, whatever their case, are replaced.
+    ``key`` (else the setting spark.tessera.surrogates.key) makes the surrogates; without one they differ from run to run. A null text stays
+    null, an empty one empty. Rows without personal data stay as they are. Repeated rows get the same replacements; no doc_id is read, so
+    rows that share one or have none are like any other. An empty table gives an empty result. All columns stay; columns named n_replaced or
+    kinds, whatever their case, are replaced.
     """
+    if key is None:
+        named = docs.sparkSession.conf.get("spark.tessera.surrogates.key", None)
+        key = named.encode() if named else secrets.token_bytes(32)
+    key = hashlib.blake2b(key).digest()
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_replaced", "kinds")])
     names, schema = docs.columns, docs.schema
-    at = names.index(text)
+    at, row_, marks_, new_ = names.index(text), unused("row", names), unused("marks", names), unused("new", names)
 
     def clean(batches):
         for b in slices(batches, 1024, 4_000_000):
-            keep = pa.array([not detect(t) for t in texts_of(b, text)])
+            keep = pa.array([not detect(t) for t in texts_of(b, text)], pa.bool_())
             b = b.filter(keep)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([0] * b.num_rows, pa.int64()), pa.array([""] * b.num_rows)], [*names, "n_replaced", "kinds"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([0] * b.num_rows, pa.int64()), pa.array([""] * b.num_rows, pa.string())], [*names, "n_replaced", "kinds"])
 
     marks = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
     struct = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
@@ -253,36 +344,41 @@ def replace_personal(docs: DataFrame, *, key: bytes = b"documented default key;
     def hit(batches):
         for b in slices(batches, 1024, 4_000_000):
             found = [detect(t) for t in texts_of(b, text)]
-            some = pa.array([bool(f) for f in found])
+            some = pa.array([bool(f) for f in found], pa.bool_())
             spans = pa.array([[{"begin": x, "end": y, "kind": k} for x, y, k in f] for f in found if f], struct)
-            yield pa.RecordBatch.from_arrays([*b.filter(some).columns, spans], [*names, "__marks"])
+            yield pa.RecordBatch.from_arrays([*b.filter(some).columns, spans], [*names, marks_])
 
-    hits = docs.mapInArrow(hit, T.StructType([*schema.fields, T.StructField("__marks", marks)])).withColumn("__row", F.monotonically_increasing_id())
+    hits = docs.mapInArrow(hit, T.StructType([*schema.fields, T.StructField(marks_, marks)])).withColumn(row_, F.monotonically_increasing_id())
     hits = materialize(hits, "personal")
 
     def values(batches):
         for b in slices(batches, 1024, 4_000_000):
-            row, kind, value = [], [], []
-            for r, t, f in zip(b.column("__row").to_pylist(), b.column(text).to_pylist(), b.column("__marks").to_pylist(), strict=True):
-                for k, v in {(m["kind"], t[m["begin"] : m["end"]]) for m in f}:
-                    row.append(r)
-                    kind.append(k)
-                    value.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(kind, pa.string()), pa.array(value, pa.string())], ["row", "kind", "value"])
-
-    uses = materialize(hits.select("__row", text, "__marks").mapInArrow(values, "row long, kind string, value string"), "uses")
-    new = assign(materialize(uses.select("kind", "value").distinct(), "values"), key)
-    given = uses.join(new, ["kind", "value"]).groupBy(F.col("row").alias("__used")).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__new"))
-    whole = hits.join(given, hits["__row"] == given["__used"]).drop("__used", "__row")
+            out = ([], [], [], [])
+            for r, t, f in zip(b.column(row_).to_pylist(), b.column(text).to_pylist(), b.column(marks_).to_pylist(), strict=True):
+                for (kind, value), of in {role(m["kind"], t[m["begin"] : m["end"]]): m["kind"] for m in reversed(f)}.items():
+                    for column, x in zip(out, (r, kind, value, of), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.string()) for x in out[1:])], ["row", "kind", "value", "role"])
+
+    uses = materialize(hits.select(row_, text, marks_).mapInArrow(values, "row long, kind string, value string, role string"), "uses")
+    roles = uses.groupBy("kind", "value", "role").agg(F.count("*").alias("n")).groupBy("kind", "value").agg(F.max_by("role", F.struct("n", "role")).alias("role"), F.sum("n").alias("n"))
+    new = assign(materialize(roles, "values"), key)
+    frequent = F.broadcast(new.where(F.col("n") > FREQUENT * uses.count()).select("kind", "value", "surrogate"))  # fewer than 1 / FREQUENT rows
+    uses = uses.drop("role")
+    given = uses.join(frequent, ["kind", "value"]).union(uses.join(frequent, ["kind", "value"], "left_anti").join(new.select("kind", "value", "surrogate"), ["kind", "value"]))
+    given = given.groupBy(F.col("row").alias(unused("used", [*names, row_]))).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(new_))
+    whole = hits.join(given, hits[row_] == given[given.columns[0]]).select(*(hits[c] for c in (*names, marks_)), new_)
 
     def put(batches):
         for b in slices(batches, 1024, 4_000_000):
             texts, n, kinds = [], [], []
-            for t, f, g in zip(b.column(text).to_pylist(), b.column("__marks").to_pylist(), b.column("__new").to_pylist(), strict=True):
+            for t, f, g in zip(b.column(text).to_pylist(), b.column(marks_).to_pylist(), b.column(new_).to_pylist(), strict=True):
                 to = {(x["kind"], x["value"]): x["surrogate"] for x in g}
                 out, last = [], 0
                 for m in f:
-                    out += [t[last : m["begin"]], to[m["kind"], t[m["begin"] : m["end"]]]]
+                    value = t[m["begin"] : m["end"]]
+                    surrogate = to[role(m["kind"], value)]
+                    out += [t[last : m["begin"]], cased(surrogate, value) if "." in m["kind"] else surrogate]
                     last = m["end"]
                 texts.append("".join([*out, t[last:]]))
                 n.append(len(f))
