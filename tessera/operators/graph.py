@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize, release
@@ -12,19 +12,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node that links lead to.
 
     Each round points the larger neighbours of a node, then its smaller ones, at the smallest neighbour; long chains halve,
-    so rounds grow with the logarithm of the longest chain. Rounds end in Parquet in the shared folder. A node with many links
-    is pre-aggregated before the shuffle, and its rows in the join are split by adaptive skew joins.
+    so rounds grow with the logarithm of the longest chain. A round is two windows and a distinct, with no join; a window spills to disk, so a
+    node with many links takes time, but no memory. Rounds end in Parquet in the shared folder. ``contracted`` takes hubs away first.
     """
     links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    near = Window.partitionBy("a")
     for _ in range(most_rounds):
         if _stars(links):
             break
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        large = both.withColumn("m", F.least("a", F.min("b").over(near))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.withColumn("m", F.min("b").over(near)).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         before, links = links, materialize(small.where("a <> b").distinct(), "links")
         release(before)
     else:
@@ -33,6 +31,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """(node, root) as from ``components``, for links of many nodes ``a`` with few links each to hubs ``b``; a node that is missing is its own root, and
+    a root is any one node of its component.
+
+    Every ``a`` points at its smallest hub. Hubs that share an ``a`` are linked, each pair once, and only they go through ``components``: a
+    hub's own links are aggregated and joined by ``a``, and never meet in one task.
+    """
+    links = materialize(links.where("a <> b").select("a", "b").distinct(), "links")
+    best = links.groupBy("a").agg(F.min("b").alias("m"))
+    pointed = links.join(best.hint("merge"), "a")
+    hubs = links.select(F.col("b").alias("a")).distinct()
+    among = pointed.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(best.select("a", F.col("m").alias("b")).join(hubs.hint("merge"), "a", "left_semi"))
+    roots = materialize(components(among), "hubs")
+    leaves = best.join(hubs.hint("merge"), "a", "left_anti").join(roots.select(F.col("node").alias("m"), "root").hint("merge"), "m", "left")
+    return leaves.select(F.col("a").alias("node"), F.coalesce("root", "m").alias("root")).union(roots.select("node", "root"))
+
+
 def _stars(links: DataFrame) -> bool:
     """Whether every node points at one smaller node and none that points is pointed at: each component is a star about its smallest node."""
     ends = links.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(links.select("b", F.lit(0), F.lit(1)))

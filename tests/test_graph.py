@@ -14,3 +14,17 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got.get(x, x) == label[x] for x in label)
+
+
+def test_contracted(spark):
+    rng = random.Random(9)
+    links = [(i, 1000 + i % 3) for i in range(60)] + [(i, 1000 + rng.randrange(12)) for i in range(40, 60)] + [(1002, 1005), (70, 71), (71, 72), (72, 70), (73, 73)]
+    label = {x: x for e in links for x in e}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.root for r in graph.contracted(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    own = {x: got.get(x, x) for x in label}
+    assert len({(own[x], label[x]) for x in label}) == len(set(own.values())) == len(set(label.values()))
+    assert all(label[own[x]] == label[x] for x in label)
+    assert graph.contracted(spark.createDataFrame([], "a long, b long")).count() == 0
