@@ -37,9 +37,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (sets of five words, similarity 0.8 at least) stays: that of the smallest doc_id."""
-    others = near_duplicates(docs, grams=5, num=4, den=5).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates (sets of five words, similarity 0.8 at least) stays: that of the smallest doc_id.
+
+    Rows are numbered in a table of their own first, so of rows that share a doc_id each stays or goes by its own text. Rows without words or
+    without a doc_id are in no group and stay.
+    """
+    numbered = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    others = near_duplicates(numbered, grams=5, num=4, den=5, row="row").where("not first").select("row")
+    return numbered.join(others.hint("shuffle_hash"), "row", "left_anti").select(*COLUMNS)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

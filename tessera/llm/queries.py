@@ -42,7 +42,7 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), grams=3, num=9, den=10)
 
 
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
