@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import keyed_rank
+
 
 def fold(ids: Column, k: int, seed: int = 0) -> Column:
     """A fold 0..k-1 by the row's hash: the same for all rows of an id, without a shuffle."""
@@ -15,8 +17,8 @@ def fold(ids: Column, k: int, seed: int = 0) -> Column:
 
 
 def stratified_fold(df: DataFrame, label: str, ids: Sequence[str], k: int) -> DataFrame:
-    """Folds dealt out in turn within each class, in the order of ``ids``."""
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(*ids)) - 1) % k).cast("int"))
+    """Folds dealt out in turn within each class, in the order of ``ids``, the first of which is a number. Rows without it are left out."""
+    return keyed_rank(df, [label], ids[0], ids[1:], "fold").withColumn("fold", ((F.col("fold") - 1) % k).cast("int"))
 
 
 def feature_report(df: DataFrame, features: Sequence[str], max_missing: float = 0.5, min_variance: float = 0.0) -> DataFrame:

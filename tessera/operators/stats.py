@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import global_rank
+
 
 def summary(x: Column) -> list[Column]:
     """n, mean, median and quartiles (exact, linear)."""
@@ -54,10 +56,19 @@ def rank_auc(df: DataFrame, keys: Sequence[str], x: str, event: str) -> DataFram
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation on complete pairs."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rank = lambda c: average_rank(Window.partitionBy(*keys, c), Window.partitionBy(*keys).orderBy(c))
-    return pairs.withColumn("rx", rank(x)).withColumn("ry", rank(y)).groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    """Rank correlation on complete pairs. Values are counted by key first, so the windows run over distinct values."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("_n"))
+    out = pairs
+    for c, name in ((x, "rx"), (y, "ry")):
+        n = pairs.groupBy(*keys, c).agg(F.sum("_n").alias("_m"))
+        before = Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = n.select(*keys, c, (F.coalesce(F.sum("_m").over(before), F.lit(0)) + (F.col("_m") + 1) / 2).alias(name))
+        out = out.join(ranked, [*keys, c])
+    w, a, b = F.col("_n"), F.col("rx"), F.col("ry")
+    g = out.groupBy(*keys).agg(F.sum(w).alias("n"), *[F.sum(v).alias(f"_{k}") for k, v in (("a", w * a), ("b", w * b), ("aa", w * a * a), ("bb", w * b * b), ("ab", w * a * b))])
+    n = F.col("n")
+    cov = lambda p, q, pq: F.col(f"_{pq}") / n - F.col(f"_{p}") / n * F.col(f"_{q}") / n
+    return g.select(*keys, "n", F.try_divide(cov("a", "b", "ab"), F.sqrt(cov("a", "a", "aa") * cov("b", "b", "bb"))).alias("rho"))
 
 
 def anova_f(df: DataFrame, keys: Sequence[str], x: str, group: str) -> DataFrame:
@@ -77,9 +88,22 @@ def mad(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 def concordance(df: DataFrame, time: str, risk: str, event: str) -> DataFrame:
     """Harrell's index: over pairs with t_i < t_j and an event at i, the share where risk_i is larger; ties count half.
 
-    Rows are counted by (time, risk) first, so the pairs are of distinct values.
+    Rows are counted by (time, risk) first. Risks get ranks; of two ranks the lower is told by the first bit, from the top, in which they differ, so the rows of smaller
+    risk are those that share a prefix and have a 0 where the row has a 1. One running count over time for each level and prefix gives them
+    all: n log n rows, and no pairs.
     """
-    cells = df.where(F.col(time).isNotNull() & F.col(risk).isNotNull()).groupBy(F.col(time).alias("t"), F.col(risk).alias("r")).agg(F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("e"))
-    a, b = cells.where("e > 0").alias("a"), cells.alias("b")
-    pairs = a.join(b, F.expr("a.t < b.t")).select((F.col("a.e") * F.col("b.n")).alias("w"), F.when(F.col("a.r") > F.col("b.r"), 1.0).when(F.col("a.r") == F.col("b.r"), 0.5).otherwise(0.0).alias("s"))
-    return pairs.agg(F.sum("w").alias("pairs"), (F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("c_index"))
+    cells = df.where(F.col(time).isNotNull() & F.col(risk).isNotNull()).groupBy(F.col(time).cast("double").alias("t"), F.col(risk).cast("double").alias("r")).agg(F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("e"))
+    ranks = global_rank(cells.select("r").distinct(), "r", [], "k", "_n").select("r", (F.col("k") - 1).alias("k"))
+    cells = cells.join(ranks, "r").select("t", "k", "n", "e")
+    levels = max(1, ((ranks.agg(F.max("k")).first()[0] or 0)).bit_length())
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels)))  # the last: the whole rank, for ties
+    deep = cells.withColumn("level", level).withColumn("bit", F.when(F.col("level") < levels, F.expr("shiftright(k, level) & 1")))
+    deep = deep.withColumn("prefix", F.when(F.col("level") < levels, F.expr("shiftright(k, level + 1)")).otherwise(F.col("k")))
+    tie = F.col("bit").isNull()
+    at = deep.groupBy("level", "prefix", "t").agg(F.max(tie).alias("tie"), F.sum(F.when(tie | (F.col("bit") == 0), F.col("n"))).alias("low"), F.sum(F.when(tie | (F.col("bit") == 1), F.col("e"))).alias("e"))
+    later = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731  a row a time
+    at = at.withColumn("s", F.col("e") * F.sum("low").over(later("level", "prefix")))
+    won = at.agg(F.coalesce(F.sum(F.when(F.col("tie"), F.col("s") / 2).otherwise(F.col("s"))), F.lit(0.0)).alias("won"))
+    times = cells.groupBy("t").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).withColumn("all", F.lit(0))
+    pairs = times.withColumn("s", F.col("e") * F.sum("n").over(later("all"))).agg(F.nullif(F.sum("s"), F.lit(0)).alias("pairs"))
+    return won.crossJoin(pairs).select("pairs", (F.col("won") / F.col("pairs")).alias("c_index"))  # one row each

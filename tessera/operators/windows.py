@@ -60,6 +60,20 @@ def global_rank(df: DataFrame, x: str, ids: Sequence[str], rank: str = "rank", t
     return parts.join(F.broadcast(held), "__b").withColumn(rank, local + F.col("__before")).drop("__before")
 
 
+def keyed_rank(df: DataFrame, keys: Sequence[str], x: str, ids: Sequence[str], rank: str = "rank") -> DataFrame:
+    """Ranks 1.. within each key by x and ids, for keys of any size: rows are numbered within ranges of x, and the counts of the key's ranges before are added."""
+    parts = value_buckets(df.where(F.col(x).isNotNull()), x)
+    counts = parts.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))  # a row for each key and range
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__n")).drop("__n")
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "__b")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    local = F.row_number().over(Window.partitionBy(*[f"p.{k}" for k in keys], "p.__b").orderBy(f"p.{x}", *[f"p.{i}" for i in ids]))
+    out = parts.alias("p").join(before.alias("c"), on).withColumn(rank, local + F.col("c.__before"))
+    return out.select(*[F.col(f"p.{c}") for c in df.columns], rank)
+
+
 def benjamini_hochberg(df: DataFrame, p: str, ids: Sequence[str]) -> DataFrame:
     """q-values: p m / rank, running minimum from the largest, within 0..1. Rows without p go."""
     ranked = global_rank(df, p, ids, "__k", "__m").withColumn("__raw", F.col(p) * F.col("__m") / F.col("__k"))
@@ -92,15 +106,19 @@ def zscore(df: DataFrame, values: Sequence[str], sample: bool, zero: float | Non
 
 
 def robust_flags(long: DataFrame, feature: str, value: str, ids: Sequence[str], z: float = 3.5, fence: float = 1.5, n: int = 3) -> DataFrame:
-    """Outliers of a long table: robust z from median and MAD, quartile fences, or among the n highest; with the reasons."""
+    """Outliers of a long table: robust z from median and MAD, quartile fences, or among the n highest, with the reasons; ``rank`` where among the n highest.
+
+    Statistics (a row a feature) and the n highest of each feature are broadcast, so the table itself isn't shuffled for them; row limits of the n highest apply
+    before their shuffle.
+    """
     base = long.where(F.col(value).isNotNull())
     stats = base.groupBy(feature).agg(F.median(value).alias("median"), F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.75).alias("q75"))
-    with_median = base.join(stats, feature)
+    with_median = base.join(F.broadcast(stats), feature)
     spread = with_median.groupBy(feature).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    scored = with_median.join(spread, feature)
+    highest = top_n(base.select(feature, *ids, value), [feature], [F.desc(value), *map(F.col, ids)], n).drop(value)
+    scored = with_median.join(F.broadcast(spread), feature).join(F.broadcast(highest), [feature, *ids], "left")
     robust = F.when(F.col("mad") > 0, 0.6745 * (F.col(value) - F.col("median")) / F.col("mad"))
     iqr = F.col("q75") - F.col("q25")
-    rank = F.row_number().over(Window.partitionBy(feature).orderBy(F.desc(value), *ids))
-    scored = scored.withColumn("robust_z", robust).withColumn("rank", rank)
-    reason = F.array_compact(F.array(F.when(F.abs("robust_z") >= z, "robust_z"), F.when((F.col(value) > F.col("q75") + fence * iqr) | (F.col(value) < F.col("q25") - fence * iqr), "iqr"), F.when(F.col("rank") <= n, "top")))
+    scored = scored.withColumn("robust_z", robust)
+    reason = F.array_compact(F.array(F.when(F.abs("robust_z") >= z, "robust_z"), F.when((F.col(value) > F.col("q75") + fence * iqr) | (F.col(value) < F.col("q25") - fence * iqr), "iqr"), F.when(F.col("rank").isNotNull(), "top")))
     return scored.withColumn("reasons", F.array_join(reason, ";")).where("reasons <> ''")
