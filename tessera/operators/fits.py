@@ -45,7 +45,11 @@ def _steps(df: DataFrame, keys: Sequence[str], terms: int, sums, ridge: float, r
         for r in sums(df.join(F.broadcast(beta), list(keys)) if keys else df.crossJoin(F.broadcast(beta)), keys).collect():
             g = tuple(r[k] for k in keys)
             info = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(terms)] for i in range(terms)]) + ridge * np.eye(terms)
-            step = np.linalg.pinv(info) @ (np.array([r[f"g{i}"] or 0.0 for i in range(terms)]) - ridge * open_[g])
+            slope = np.array([r[f"g{i}"] or 0.0 for i in range(terms)]) - ridge * open_[g]
+            if not (np.isfinite(info).all() and np.isfinite(slope).all()):  # beyond what doubles hold: separated classes
+                del open_[g]
+                continue
+            step = np.linalg.pinv(info) @ slope
             size = np.abs(step).max()
             open_[g] = open_[g] + step * min(1.0, 5.0 / max(size, 1e-300))
             found[g] = (open_[g], np.linalg.pinv(info), r["n"])

@@ -29,11 +29,18 @@ def feature_report(df: DataFrame, features: Sequence[str], max_missing: float =
     return out.withColumn("usable", (F.col("missing") <= max_missing) & F.coalesce(F.col("variance") > min_variance, F.lit(False)))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation on complete pairs; NULL where either doesn't vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(a, b, r, n) of all pairs a < b on complete pairs, as one aggregate over the rows."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     both = lambda a, b: F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull())
-    row = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"), both(a, b).alias("n")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col(a), F.col(b)).alias("r"), both(a, b).alias("n")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*row.columns)).alias("p")).select("p.*")
 
 
@@ -54,12 +61,12 @@ def drop_redundant(relevance: dict[str, float], pairs: Sequence[tuple[str, str,
 def covariance_components(df: DataFrame, features: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(means, loadings as columns, variance shares) of standardised features; the matrix comes from one aggregate, signs make the largest loading positive."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[correlation(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
     p = len(features)
     c = np.eye(p)
     for i, (a, b) in enumerate(pairs):
         x, y = features.index(a), features.index(b)
-        c[x, y] = c[y, x] = 1.0 if a == b else row[f"c{i}"]
+        c[x, y] = c[y, x] = 1.0 if a == b else row[f"c{i}"] or 0.0
     w, v = np.linalg.eigh(c)
     order = np.argsort(-w)[:n]
     v = v[:, order]
