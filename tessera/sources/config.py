@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping, Sequence
 from typing import Any
@@ -40,3 +41,8 @@ def overridden(base: Mapping[str, Any], settings: Sequence[str]) -> dict[str, An
             value = {part: value}
         out = merged(out, value)
     return out
+
+
+def config_hash(config: Mapping[str, Any], length: int = 40) -> str:
+    """SHA-1 of the configuration's JSON with sorted keys: equal configurations have equal hashes."""
+    return hashlib.sha1(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:length]
