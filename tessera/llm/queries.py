@@ -99,6 +99,20 @@ WITH v AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op5_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS grams FROM w
+), g AS (
+  SELECT r, doc_id, len(grams) AS n, unnest(grams) AS gram FROM s WHERE doc_id IS NOT NULL
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 19 * count(*) >= 9 * (a.n + b.n)
+), reach(doc, least_id) AS (
+  SELECT DISTINCT a, a FROM links UNION SELECT l.b, c.least_id FROM reach c JOIN links l ON l.a = c.doc WHERE c.least_id < l.b
+)
+SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, CASE WHEN len(grams) = 0 THEN doc_id ELSE coalesce((SELECT min(least_id) FROM reach WHERE doc = doc_id), doc_id) END AS component_id FROM s
 """,
     "op2_linededup": """
 WITH split AS (
