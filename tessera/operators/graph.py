@@ -12,8 +12,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node that links lead to.
 
     Each round points the larger neighbours of a node, then its smaller ones, at the smallest neighbour; long chains halve,
-    so rounds grow with the logarithm of the longest chain. A round is two windows and a distinct, with no join; a window spills to disk, so a
-    node with many links takes time, but no memory. Rounds end in Parquet in the shared folder. ``contracted`` takes hubs away first.
+    so rounds grow with the logarithm of the longest chain. A hub's neighbours are aggregated before the shuffle and joined back, so its rows can
+    be split; what its larger neighbours then hold are few different roots. Rounds end in Parquet in the shared folder.
     """
     links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     near = Window.partitionBy("a")
@@ -21,7 +21,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if _stars(links):
             break
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least("a", F.min("b").over(near))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         small = large.withColumn("m", F.min("b").over(near)).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         before, links = links, materialize(small.where("a <> b").distinct(), "links")
         release(before)

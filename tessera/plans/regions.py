@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import masks as K
+from ..operators import regions as M
 from ..operators import voxel as V
 from .aggregates import rounded
 from .registry import query
@@ -184,3 +185,81 @@ def protrusions(spark, d):
     c = cells(spark, d)
     labelled = c.join(K.ring_components(c, 12), ["case_id", "z", "angle"])
     return rounded(K.protrusions(labelled, 12, 2.0, (30.0, 180.0), (2.0, 10.0)), ("max_depth", "median_depth", "prominence", "max_area"))
+
+
+@query(f"""{GRID}, a AS (SELECT case_id, z, count(*) * 2.0::DOUBLE AS area, (max(x) - min(x) + 1) * 1.0::DOUBLE AS lat, (max(y) - min(y) + 1) * 2.0::DOUBLE AS ap FROM v WHERE {BALL} GROUP BY 1, 2), gg AS (SELECT case_id, count(*) * 3.0::DOUBLE AS length_mm, round(sum(area) * 3 / 1000, 6) AS volume_ml, min(area) AS min_area, arg_min(z, struct_pack(a := area, z := z)) AS z, round(quantile_cont(area, 0.05), 6) AS p05, round(quantile_cont(area, 0.1), 6) AS p10, round(quantile_cont(area, 0.25), 6) AS p25, round(quantile_cont(area, 0.5), 6) AS p50 FROM a GROUP BY 1)
+SELECT case_id, length_mm, volume_ml, min_area, z AS z_min, p05, p10, p25, p50, lat AS lateral_mm, ap AS ap_mm, round(sqrt(1 - power(least(lat, ap) / greatest(lat, ap), 2)), 6) AS eccentricity FROM gg JOIN a USING (case_id, z)""")
+def tube_sections(spark, d):
+    return rounded(M.tube_features(ball(spark, d), SPACING), ("volume_ml", "p05", "p10", "p25", "p50", "eccentricity"))
+
+
+@query(f"""{GRID}, c AS (SELECT case_id, z, avg(y) AS cy, avg(x) AS cx FROM v WHERE {BALL} GROUP BY 1, 2), l AS (SELECT v.case_id, v.z, y < cy AS f, floor((CASE WHEN atan2(y - cy, x - cx) < 0 THEN atan2(y - cy, x - cx) + 2 * pi() ELSE atan2(y - cy, x - cx) END) / (2 * pi()) * 12) AS s FROM v JOIN c ON c.case_id = v.case_id AND c.z = v.z WHERE {BALL.replace('(z', '(v.z')} AND hu >= 300), r AS (SELECT case_id, z, count(DISTINCT s) * 30.0::DOUBLE AS arc, count(*) AS n, count(*) FILTER (WHERE f) AS f FROM l GROUP BY 1, 2)
+SELECT case_id, round(avg(arc), 6) AS arc_mean, max(arc) AS arc_max, round(sum(f) / sum(n), 6) AS anterior, round(1 - sum(f) / sum(n), 6) AS posterior, round(2 * sum(f) / sum(n) - 1, 6) AS difference FROM r GROUP BY 1""")
+def lesion_arcs(spark, d):
+    out = M.wall_arcs(grid(spark, d).where(BALL).where("hu >= 300"), ball(spark, d), 12)
+    return rounded(out, ("arc_mean", "anterior", "posterior", "difference"))
+
+
+@query(f"""{NEAR}, s AS (SELECT *, least(3, floor((atan2(y - 6.0, x - 6.0) + pi()) / (2 * pi()) * 4)) AS sector FROM far WHERE NOT inside AND d <= 3.5 AND hu BETWEEN -100 AND 100), p AS (SELECT case_id, hu, 'all' AS part FROM s UNION ALL SELECT case_id, hu, CASE WHEN d <= 2 THEN 'layer_1' ELSE 'layer_2' END FROM s UNION ALL SELECT case_id, hu, 'sector_' || CAST(sector AS INTEGER) FROM s)
+SELECT case_id, part, count(*) AS n, round(count(*) * 0.006::DOUBLE, 6) AS volume_ml, round(avg(hu), 6) AS mean_hu, round(stddev_pop(hu), 6) AS sd_hu FROM p GROUP BY 1, 2""")
+def layered_fat(spark, d):
+    out = M.layered_fat(grid(spark, d), ball(spark, d), [(0.0, 2.0), (2.0, 3.5)], -100, 100, 4, SPACING)
+    return rounded(out.drop("skewness"), ("volume_ml", "mean_hu", "sd_hu"))
+
+
+ISLANDS = " UNION ALL ".join(f"SELECT case_id, count(*) AS n FROM (SELECT *, {a} - row_number() OVER (PARTITION BY case_id, {b}, {c}, level ORDER BY {a}) AS i FROM q) GROUP BY case_id, {b}, {c}, level, i" for a, b, c in ("zyx", "yzx", "xzy"))
+
+
+@query(f"""{GRID}, q AS (SELECT *, CAST(least(3, floor((hu - lo) / (hi - lo) * 4)) AS INTEGER) AS level FROM (SELECT *, min(hu) OVER (PARTITION BY case_id) AS lo, max(hu) OVER (PARTITION BY case_id) AS hi FROM v)), r AS ({ISLANDS})
+SELECT case_id, round(avg(1.0 / (n * n)), 6) AS short_run_emphasis, round(avg(n * n), 6) AS long_run_emphasis, count(*) AS runs FROM r GROUP BY 1""")
+def run_emphasis(spark, d):
+    return rounded(M.run_features(V.quantize(grid(spark, d), 4)), ("short_run_emphasis", "long_run_emphasis"))
+
+
+@query(f"{GRID} SELECT case_id, greatest(min(z) - 1, 0) AS z_min, least(max(z) + 1, 11) AS z_max, greatest(min(y) - 2, 0) AS y_min, least(max(y) + 2, 11) AS y_max, greatest(min(x) - 3, 0) AS x_min, least(max(x) + 3, 11) AS x_max, count(*) AS n FROM v WHERE {BALL} GROUP BY 1")
+def expanded_boxes(spark, d):
+    return M.expanded(V.bounding_box(ball(spark, d)), 3.0, SPACING, SHAPE)
+
+
+@query(f"{GRID} SELECT case_id, count(*) AS n FROM v WHERE {BALL} AND x BETWEEN 4 AND 8 GROUP BY 1")
+def cropped_voxels(spark, d):
+    inner = ball(spark, d).where("x between 5 and 7")
+    return V.crop(grid(spark, d).where(BALL), V.bounding_box(inner), 1.0, SPACING).groupBy("case_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def section_shapes(spark, d):
+    parts = M.slice_components(grid(spark, d).where("hu >= 300"))
+    return rounded(M.section_features(parts, SPACING, 3).select("case_id", "z", "component", "area", "perimeter", "circularity", "eccentricity"), ("circularity", "eccentricity"))
+
+
+@query()
+def tube_lines(spark, d):
+    return rounded(M.centreline(ball(spark, d), SPACING), ("tangent_x", "tangent_y", "tangent_z", "curvature"))
+
+
+@query()
+def cleaned_masks(spark, d):
+    return M.cleaned(grid(spark, d).where("hu >= 150").select(*V.AT), SHAPE).groupBy("case_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def mask_quality(spark, d):
+    v = grid(spark, d)
+    return M.mask_quality(v, v.where("hu >= 450 and case_id <> 1"), v, SPACING, 700.0, 900.0).select("case_id", "voxels", "components", "volume_mm3", "warnings")
+
+
+@query(f"{GRID} SELECT 'positive' AS side, CASE WHEN {BALL} AND hu > 400 THEN 'ball,bright' WHEN {BALL} THEN 'ball' ELSE 'bright' END AS name, count(*) AS n FROM v WHERE {BALL} OR hu > 400 GROUP BY 2 UNION ALL SELECT 'negative', 'slab', count(*) FROM v WHERE x < 3 AND case_id % 2 = 0 AND NOT ({BALL}) AND hu <= 400 UNION ALL SELECT 'negative', 'slab', count(*) FROM v WHERE x > 8 AND case_id % 2 = 1 AND NOT ({BALL}) AND hu <= 400")
+def fused_priors(spark, d):
+    v = grid(spark, d)
+    positive, negative = M.fused([("ball", ball(spark, d)), ("bright", v.where("hu > 400"))], {"slab": [v.where("x < 3 and case_id % 2 = 0"), v.where("x > 8")]})
+    side = negative.groupBy(F.col("structure").alias("name"), (F.col("case_id") % 2).alias("_p")).agg(F.count("*").alias("n"))
+    return positive.groupBy(F.col("sources").alias("name")).agg(F.count("*").alias("n")).select(F.lit("positive").alias("side"), "name", "n").union(side.select(F.lit("negative"), "name", "n"))
+
+
+@query(f"{GRID}, s AS (SELECT * FROM (VALUES ('upper', 0, 5), ('lower', 4, 9)) t(slab, low, high)), a AS (SELECT case_id, z, count(*) * 2.0::DOUBLE AS area FROM v WHERE {BALL} GROUP BY 1, 2), k AS (SELECT case_id, arg_min(z, struct_pack(a := area, z := z)) AS z FROM a GROUP BY 1) SELECT a.case_id, slab, round(sum(area) * 3 / 1000, 6) AS volume_ml, min(area) AS min_area, count(*) AS n_slices, any_value(slab = (SELECT min(slab) FILTER (WHERE slab = 'upper') FROM s WHERE k.z BETWEEN low AND high)) IS TRUE AS narrowest FROM a JOIN s ON z BETWEEN low AND high JOIN k ON k.case_id = a.case_id GROUP BY 1, 2")
+def slab_sections(spark, d):
+    tube = ball(spark, d)
+    levels = tube.select("case_id").distinct().select("case_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(z).alias("z")) for n, z in (("upper", 4), ("lower", 6))])).alias("l")).select("case_id", "l.*")
+    bounds = M.slabs(tube, levels, ["upper", "lower"], {"upper": (4, 1), "lower": (2, 3)})
+    return rounded(M.slab_features(tube, bounds, ["upper", "lower"], SPACING), ("volume_ml",))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import assess as A
 from ..operators import fits as T
 from ..operators import ml as M
 from .aggregates import rounded
@@ -138,3 +139,64 @@ def integrated_clusters(spark, d):
     rows = T.block_weighted(matrix, ["doc_id"], [GROUPS["size"], GROUPS["marks"]]).withColumn("features", array_to_vector("vector"))
     out = KMeans(k=3, seed=7, maxIter=20).fit(rows).transform(rows)
     return out.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH c AS ({COHORT}), p AS (SELECT 'chars' AS a, 'words' AS b, corr(chars, words) AS r, count(*) AS n FROM c UNION ALL SELECT 'lines', 'digits', corr(lines, digits), count(lines) FROM c) SELECT a, b, round(r, 6) AS r, n FROM p UNION ALL SELECT 'chars', 'flat', NULL, count(*) FROM c""")
+def pair_correlations(spark, d):
+    df = cohort(spark, d).withColumn("flat", F.lit(1.0))
+    return rounded(A.pairwise_correlation(df, [("chars", "words"), ("lines", "digits"), ("chars", "flat")]), ("r",))
+
+
+PERF = f"""WITH c AS ({COHORT}), l AS (SELECT y = 1 AS e, 'chars' AS score, chars AS v FROM c UNION ALL SELECT y = 1, 'lines', lines FROM c WHERE lines IS NOT NULL), q AS (SELECT score, quantile_cont(v, 0.25) AS lo, quantile_cont(v, 0.75) AS hi FROM l GROUP BY 1),
+r AS (SELECT *, rank() OVER (PARTITION BY score ORDER BY v) + (count(*) OVER (PARTITION BY score, v) - 1) / 2.0 AS k FROM l), a AS (SELECT score, count(*) AS n, count(*) FILTER (WHERE e) AS events, (sum(k) FILTER (WHERE e) - count(*) FILTER (WHERE e) * (count(*) FILTER (WHERE e) + 1) / 2.0) / (count(*) FILTER (WHERE e) * count(*) FILTER (WHERE NOT e)) AS auc FROM r GROUP BY 1),
+g AS (SELECT score, v, count(*) AS n, count(*) FILTER (WHERE e) AS e FROM l GROUP BY 1, 2), w AS (SELECT score, e, sum(e) OVER o / sum(n) OVER o AS p FROM g WINDOW o AS (PARTITION BY score ORDER BY v DESC)), ap AS (SELECT score, sum(e * p) / sum(e) AS ap FROM w GROUP BY 1),
+h AS (SELECT l.score, avg(CAST(e AS INTEGER)) FILTER (WHERE v <= lo) AS low_rate, avg(CAST(e AS INTEGER)) FILTER (WHERE v >= hi) AS high_rate FROM l JOIN q USING (score) GROUP BY 1)"""
+
+
+@query(PERF + " SELECT score, n, events, round(auc, 6)::DOUBLE AS auc, round(greatest(auc, 1 - auc), 6)::DOUBLE AS auc_directional, round(ap, 6)::DOUBLE AS average_precision, round(low_rate, 6) AS low_rate, round(high_rate, 6) AS high_rate FROM a JOIN ap USING (score) JOIN h USING (score)")
+def performance_table(spark, d):
+    return rounded(A.performance(cohort(spark, d), ["chars", "lines"], "y"), ("auc", "auc_directional", "average_precision", "low_rate", "high_rate"))
+
+
+@query(PERF + " SELECT score AS feature, round(abs(auc - 0.5), 6)::DOUBLE AS relevance, CASE WHEN auc >= 0.5 THEN 1 ELSE -1 END AS sign FROM a")
+def feature_relevance(spark, d):
+    return rounded(A.relevance(cohort(spark, d), ["chars", "lines"], "y", "binary"), ("relevance",))
+
+
+@query("""WITH s AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT l_suppkey, (row_number() OVER (ORDER BY n DESC, CAST(l_suppkey AS VARCHAR)) - 1) % 10 AS lap FROM s) SELECT CAST(CASE WHEN lap < 5 THEN lap ELSE 9 - lap END AS INTEGER) AS fold, count(*) AS n FROM lineitem JOIN r USING (l_suppkey) GROUP BY 1""")
+def group_folds(spark, d):
+    return A.splits(read(spark, d, "lineitem"), ["l_orderkey"], 5, group="l_suppkey").groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@query()
+def selector_stability(spark, d):
+    return A.stability(whole(spark, d), "doc_id", FEATURES, "y", 20, 0.6, 2, 0.5)
+
+
+@query()
+def fitted_selector(spark, d):
+    rows = A.fit_selector(whole(spark, d).where("fold <> 0"), FEATURES, "y", top=4)
+    return rounded(spark.createDataFrame(rows, "feature string, relevance double, weight double"), ("relevance", "weight"), 4)
+
+
+@query()
+def calibration_summary(spark, d):
+    scored = T.out_of_fold(whole(spark, d), "fold", FOLDS, ["chars", "digits"], "y")
+    return rounded(A.calibration_summary(scored, "score", "y"), ("rate", "mean_p", "brier", "ece", "intercept", "slope"))
+
+
+@query()
+def threshold_odds(spark, d):
+    return rounded(A.threshold_odds(whole(spark, d), ["digits", "lines"], "y", {"median": 0.5, "top": 0.75}, ["chars"]), ("cut", "ratio", "low", "high", "p"), 5)
+
+
+@query()
+def spread_odds(spark, d):
+    return rounded(A.spread_odds(cohort(spark, d), ["digits", "chars"], {"good": F.col("y"), "toxic": F.col("toxic")}), ("iqr", "ratio", "low", "high", "p"), 5)
+
+
+@query()
+def cluster_grid(spark, d):
+    matrix, _ = T.prepared(cohort(spark, d), ["doc_id"], FEATURES)
+    rows = T.block_weighted(matrix, ["doc_id"], [GROUPS["size"], GROUPS["marks"]])
+    return rounded(A.cluster_grid(rows, "doc_id", "vector", [2, 3]), ("cost", "silhouette"), 4)
