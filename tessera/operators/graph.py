@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +33,45 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def contracted(links: DataFrame) -> DataFrame:
+#: Links of a graph that one task settles: some ten MB.
+SMALL = 200_000
+
+
+def _settled(batches):
+    """(node, root) of all links of one task: each node's smallest neighbour, until nothing changes."""
+    import pyarrow as pa
+
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    names = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).combine_chunks().dictionary_encode()
+    at = names.indices.to_numpy().astype(np.int64)
+    a, b, root = at[: table.num_rows], at[table.num_rows :], np.arange(len(names.dictionary))
+    while True:
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        for end in (root[a], root[b], a, b):
+            np.minimum.at(root, end, least)
+        while (shorter := root[root]).tobytes() != root.tobytes():
+            root = shorter
+        if (root == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([names.dictionary, names.dictionary.take(pa.array(root))], ["node", "root"])
+
+
+def contracted(links: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, root) as from ``components``, for links of many nodes ``a`` with few links each to hubs ``b``; a node that is missing is its own root, and
     a root is any one node of its component.
 
-    Every ``a`` points at its smallest hub. Hubs that share an ``a`` are linked, each pair once, and only they go through ``components``: a
-    hub's own links are aggregated and joined by ``a``, and never meet in one task.
+    Links are counted first: up to ``small`` of them are settled in one task. Beyond, every ``a`` points at its smallest hub. Hubs that share an ``a``
+    are linked, each pair once, and only they go through ``components``: a hub's own links are aggregated and joined by ``a``, and never meet in one task.
     """
-    links = materialize(links.where("a <> b").select("a", "b").distinct(), "links")
+    links = materialize(links.where("a <> b").select("a", "b"), "links")
+    if links.count() <= small:
+        kind = links.schema["a"].dataType.simpleString()
+        return links.coalesce(1).mapInArrow(_settled, f"node {kind}, root {kind}")
+    links = links.distinct()
     best = links.groupBy("a").agg(F.min("b").alias("m"))
     pointed = links.join(best.hint("merge"), "a")
     hubs = links.select(F.col("b").alias("a")).distinct()
