@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, slices, texts_of
+from .common import materialize, shared_dir, slices, texts_of, unused
 
 #: What is stripped at both ends of a line.
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -129,10 +129,13 @@ def dedup_lines(docs: DataFrame, *, shortest: int = SHORTEST, batches: int = 4,
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         index.add(part)
-    gone = "__lost_keys"
-    lost = index.repeated(lines).groupBy(F.col("doc_id").alias("__lost_doc")).agg(F.collect_set("key").alias(gone))
-    whole = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == lost["__lost_doc"], "left").drop("__lost_doc")
     names = docs.columns
+    gone, of = unused("lost_keys", names), unused("lost_doc", names)
+    lost = index.repeated(lines).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("key").alias(gone))
+    # rows without a doc_id lose nothing and don't take part in the join, where they would all be one key
+    named = docs.where("doc_id is not null")
+    whole = named.join(lost.hint("shuffle_hash"), named["doc_id"] == lost[of], "left").select(*(named[c] for c in names), gone)
+    whole = whole.union(docs.where("doc_id is null").withColumn(gone, F.lit(None).cast("array<binary>")))
     at, fields = names.index("text"), [*names, "n_lines", "n_dropped"]
 
     def rewrite(parts):
