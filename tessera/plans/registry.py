@@ -28,4 +28,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import aggregates, audits, cohort, joins, models, regions, scalars, selection, summaries, voxels, windows  # noqa: E402, F401
+from . import aggregates, audits, cohort, joins, models, regions, rules, scalars, selection, summaries, voxels, windows  # noqa: E402, F401

@@ -47,6 +47,24 @@ def pass_counter(events: DataFrame, key: str, index: str) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(update, f"{key} long, passes int, last_index long", "passes int, last long", "update", "NoTimeout")
 
 
+def stalls(events: DataFrame, key: str, quiet: str) -> DataFrame:
+    """(key, events, stalled): a row for each key's new events, and one with stalled where none came for the time ``quiet``, such as "10 minutes". State for each key: a count."""
+
+    def update(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        (n,) = state.get if state.exists else (0,)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            n += sum(len(b) for b in batches)
+            state.update((n,))
+            state.setTimeoutDuration(wait)
+        yield pd.DataFrame({key: [k[0]], "events": [n], "stalled": [state.hasTimedOut]})
+
+    wait = int(pd.Timedelta(quiet).total_seconds() * 1000)
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, events long, stalled boolean", "events long", "update", "ProcessingTimeTimeout")
+
+
 def run_once(df: DataFrame, name: str, mode: str, checkpoint: str | None = None):
     """Drive a stream over what is there into a memory table and return that."""
     writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)

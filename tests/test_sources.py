@@ -59,3 +59,20 @@ def test_streams(spark, tmp_path):
     last = {u: [i for s, v, i in rows if v == u] for u in range(3)}
     want = {u: 1 + sum(b < a for a, b in zip(x, x[1:], strict=False)) for u, x in last.items()}
     assert {r.user: r.passes for r in got.collect()} == want
+
+
+def test_stalls(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int").write.parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema("k string, v int").parquet(f"{tmp_path}/in")
+    query = L.stalls(events, "k", "2 seconds").writeStream.outputMode("update").format("memory").queryName("stalls").trigger(processingTime="500 milliseconds").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        for _ in range(60):
+            got = {(r.k, r.events, r.stalled) for r in spark.table("stalls").collect()}
+            if len(got) == 4:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert got == {("a", 2, False), ("b", 1, False), ("a", 2, True), ("b", 1, True)}
