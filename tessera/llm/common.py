@@ -38,8 +38,15 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Rows of an Arrow batch: Spark's own number suits numbers, not texts of some thousand bytes, of which each task then holds several batches.
+BATCH = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; the session's Arrow batches become ``BATCH`` rows, unless another number than Spark's is set."""
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
