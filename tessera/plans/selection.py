@@ -92,12 +92,12 @@ GROUPS = {"size": ["chars", "words", "lines"], "marks": ["digits", "capitals"],
 
 @query()
 def fold_selection(spark, d):
-    return rounded(T.fold_selection(whole(spark, d), "fold", FOLDS, GROUPS, "y", 2), ("auc",))
+    return rounded(T.fold_selection(whole(spark, d), "fold", FOLDS, {g: GROUPS[g] for g in ("size", "combined")}, "y", 2), ("auc",))
 
 
 @query()
 def final_signature(spark, d):
-    return T.signature(T.fold_selection(whole(spark, d), "fold", FOLDS, GROUPS, "y", 2), FOLDS, 0.5)
+    return T.signature(T.fold_selection(whole(spark, d), "fold", FOLDS, {"marks": GROUPS["marks"]}, "y", 1), FOLDS, 0.5)
 
 
 @query()

@@ -146,7 +146,7 @@ def test_prepared_and_components(rows):
 def test_selection_uses_training_rows_alone(spark):
     """Turning the labels of one fold about changes nothing in what is chosen for it."""
     df = Q.whole(spark, str(DATA)).cache()
-    pick = lambda rows: {(r.modality, r.feature, r.place) for r in T.fold_selection(rows, "fold", Q.FOLDS, Q.GROUPS, "y", 2).collect() if r.fold == 1}
+    pick = lambda rows: {(r.modality, r.feature, r.place) for r in T.fold_selection(rows, "fold", Q.FOLDS, {"size": Q.GROUPS["size"]}, "y", 2).collect() if r.fold == 1}
     from pyspark.sql import functions as F
 
     assert pick(df) == pick(df.withColumn("y", F.when(F.col("fold") == 1, 1 - F.col("y")).otherwise(F.col("y"))))
