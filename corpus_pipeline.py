@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, small_batches, table
 from tessera.llm.jaccard import near_duplicates
 from tessera.llm.linededup import dedup_lines
 from tessera.llm.packing import pack
@@ -26,6 +26,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    small_batches(spark)
     scored = score_quality(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
     return scored.where("predicted = 1").select(*COLUMNS)
 
