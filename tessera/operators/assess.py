@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..storage import materialize
 from . import evaluate as E
 from . import fits as T
 from . import ml as M
@@ -203,16 +204,23 @@ def spread_odds(df: DataFrame, features: Sequence[str], outcomes: Mapping[str, C
 
 # ---------------------------------------------------------------- clusters
 def cluster_grid(df: DataFrame, ids: str, vector: str, ks: Sequence[int], seed: int = 7, restarts: int = 1) -> DataFrame:
-    """(k, cost, silhouette, best): k-means of least cost over restarts for each k, the exact mean silhouette, and the k where it is greatest (the smallest of ties)."""
+    """(k, cost, silhouette, best): k-means of least cost over restarts for each k, the exact mean silhouette, and the k where it is greatest (the smallest of ties).
+
+    The pairs of rows are gone through once for all k.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows, held = [], df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    for k in ks:
-        fits = [KMeans(featuresCol="_v", k=k, seed=seed + r, maxIter=20).fit(held) for r in range(restarts)]
+    held = materialize(df.select(ids, vector), "clusters").withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    dealt, costs = held, []
+    for i, k in enumerate(ks):
+        fits = [KMeans(featuresCol="_v", predictionCol=f"_c{i}", k=k, seed=seed + r, maxIter=20).fit(held) for r in range(restarts)]
         model = min(fits, key=lambda m: m.summary.trainingCost)
-        s = M.silhouette(model.transform(held).select(ids, vector, F.col("prediction").alias("c")), ids, vector, "c").agg(F.avg("s")).first()[0]
-        rows.append((k, float(model.summary.trainingCost), float(s)))
+        dealt = model.transform(dealt)
+        costs.append(float(model.summary.trainingCost))
+    s = M.silhouettes(dealt, ids, vector, [f"_c{i}" for i in range(len(ks))]).groupBy("labelling").agg(F.avg("s").alias("s")).collect()  # a row a k
+    s = {r.labelling: r.s for r in s}
+    rows = [(k, c, float(s[i])) for i, (k, c) in enumerate(zip(ks, costs, strict=True))]
     best = max(rows, key=lambda r: (round(r[2], 12), -r[0]))
     return df.sparkSession.createDataFrame([(*r, r == best) for r in rows], "k int, cost double, silhouette double, best boolean")
 

@@ -202,3 +202,15 @@ def test_clusters_and_distances(spark):
     assert next(r for r in got if r.k == 3).cost == pytest.approx(cost)
     d = {(r.i, r.j): r.distance for r in A.distances(df, "id", "v").collect()}
     assert len(d) == 36 * 35 / 2 and d[0, 20] == pytest.approx(np.linalg.norm(x[0] - x[20]))
+
+
+def test_cluster_grid_goes_over_the_pairs_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.1, (12, 2)) for c in (0, 5, 10)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    calls, silhouettes = [], M.silhouettes
+    monkeypatch.setattr(M, "silhouettes", lambda *a: calls.append(a[3]) or silhouettes(*a))
+    got = {r.k: r for r in A.cluster_grid(df, "id", "v", [2, 3], restarts=3).collect()}
+    assert len(calls) == 1 and len(calls[0]) == 2
+    want = plain_silhouettes([(i, i // 12, v.tolist()) for i, v in enumerate(x)])
+    assert got[3].best and got[3].silhouette == pytest.approx(sum(want.values()) / 36)
